@@ -6,25 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, neardup, packing, pii, quality
+from . import chat, decontaminate, licenses, lm_scoring, neardup, packing, pii, quality, token_counts, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.rollup(_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(_table(spark, sf_dir, "conversations"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents"))
 
@@ -33,5 +49,21 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_decontamination, op6_quality_rules, op8_simhash_dedup, op9_pii_surrogates)} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op6_quality_rules": quality.oracle()}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.report(_table(spark, sf_dir, "pages"))
+
+
+OPERATORS = (
+    op1_token_counts,
+    op2_packing,
+    op3_lm_scoring,
+    op4_decontamination,
+    op5_license_scan,
+    op6_quality_rules,
+    op7_chat_format,
+    op8_simhash_dedup,
+    op9_pii_surrogates,
+    op10_url_filter,
+)
+QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
+ORACLES = {"op6_quality_rules": quality.oracle(), "op7_chat_format": chat.ORACLE, "op10_url_filter": urlfilter.ORACLE}
