@@ -40,34 +40,76 @@ RULES = (
 )
 
 _SPACE = r"[ \n\t\r]+"
-_SYMBOLS = r"[#$%&*|!~^_=<>{}\\@+]"
+_SYMBOLS = r"#$%&*|!~^_=<>{}\\@+"
 _BULLET = r"(^|\n)[ \t]*[-*•]"
 _ELLIPSIS = r"(\.\.\.|…)[ \t]*(\n|$)"
-_STOP = " (" + "|".join(STOP_WORDS) + r")[.,;:!?]* "
 METRICS = ("n_words", "mean_word_chars", "symbol_ratio", "stop_word_ratio", "distinct_word_ratio", "duplicate_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio")
 
 
+def _trie(words: list[str]) -> str:
+    """A pattern of the words that branches once for each letter."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def spell(node: dict) -> str:
+        parts = [c + spell(node[c]) for c in sorted(node) if c]
+        if not parts:
+            return ""
+        body = parts[0] if len(parts) == 1 and "" not in node else "(?:" + "|".join(parts) + ")"
+        return body + ("?" if "" in node else "")
+
+    return spell(tree)
+
+
+_STOP = " " + _trie(STOP_WORDS) + r"[.,;:!?]* "
+
+
 def _ratio(a: Column, b: Column, digits: int = 6) -> Column:
     return F.when(b > 0, F.round(a / b, digits)).otherwise(F.lit(0.0))
 
 
-def metrics(text: Column) -> dict[str, Column]:
-    """The metrics of a text as Column expressions."""
-    text = F.coalesce(text, F.lit(""))
-    squeezed = F.trim(F.regexp_replace(text, _SPACE, " "))
-    words = F.when(squeezed == "", F.array().cast("array<string>")).otherwise(F.split(squeezed, " "))
-    lines = F.split(text, "\n")
-    n, n_lines = F.size(words), F.size(lines)
-    letters = F.length(squeezed) - n + 1
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``__q``, a struct of counts.
+
+    Each step is a one-row ``inline``: a projection could be merged with a filter above
+    it, which would then evaluate the same patterns once for each rule that needs them.
+    """
+    own = [f"`{c}`" for c in docs.columns]
+    t = F.coalesce(docs[text], F.lit(""))
+    step = docs.select("*", F.inline(F.array(F.struct(F.trim(F.regexp_replace(t, _SPACE, " ")).alias("__q_squeezed")))))
+    t, s = F.coalesce(step[f"`{text}`"], F.lit("")), F.col("__q_squeezed")
+    counts = F.struct(
+        F.length(t).alias("chars"),
+        F.length(s).alias("squeezed"),
+        F.length(F.replace(s, F.lit(" "), F.lit(""))).alias("letters"),
+        F.length(F.regexp_replace(t, f"[^{_SYMBOLS}]+", "")).alias("symbols"),
+        F.regexp_count(F.concat(F.lit(" "), F.replace(s, F.lit(" "), F.lit("  ")), F.lit(" ")), F.lit("(?iu)" + _STOP)).alias("stops"),
+        F.size(F.array_distinct(F.split(s, " "))).alias("distinct"),
+        F.size(F.split(t, "\n")).alias("lines"),
+        F.size(F.array_distinct(F.split(t, "\n"))).alias("distinct_lines"),
+        F.regexp_count(t, F.lit(_BULLET)).alias("bullets"),
+        F.regexp_count(t, F.lit(_ELLIPSIS)).alias("ellipses"),
+    )
+    return step.select(*own, F.inline(F.array(F.struct(counts.alias("__q")))))
+
+
+def metrics() -> dict[str, Column]:
+    """The metrics as expressions over ``__q``."""
+    q = {k: F.col(f"__q.{k}") for k in ("chars", "squeezed", "letters", "symbols", "stops", "distinct", "lines", "distinct_lines", "bullets", "ellipses")}
+    n = F.when(q["squeezed"] == 0, F.lit(0)).otherwise(q["squeezed"] - q["letters"] + 1)
     return {
         "n_words": n,
-        "mean_word_chars": _ratio(F.when(n > 0, letters).otherwise(F.lit(0)), n),
-        "symbol_ratio": _ratio(F.regexp_count(text, F.lit(_SYMBOLS)), F.length(text)),
-        "stop_word_ratio": _ratio(F.regexp_count(F.concat(F.lit(" "), F.replace(squeezed, F.lit(" "), F.lit("  ")), F.lit(" ")), F.lit("(?iu)" + _STOP)), n),
-        "distinct_word_ratio": _ratio(F.size(F.array_distinct(words)), n),
-        "duplicate_line_ratio": _ratio(n_lines - F.size(F.array_distinct(lines)), n_lines),
-        "bullet_line_ratio": _ratio(F.regexp_count(text, F.lit(_BULLET)), n_lines),
-        "ellipsis_line_ratio": _ratio(F.regexp_count(text, F.lit(_ELLIPSIS)), n_lines),
+        "mean_word_chars": _ratio(q["letters"], n),
+        "symbol_ratio": _ratio(q["symbols"], q["chars"]),
+        "stop_word_ratio": _ratio(q["stops"], n),
+        "distinct_word_ratio": _ratio(q["distinct"], n),
+        "duplicate_line_ratio": _ratio(q["lines"] - q["distinct_lines"], q["lines"]),
+        "bullet_line_ratio": _ratio(q["bullets"], q["lines"]),
+        "ellipsis_line_ratio": _ratio(q["ellipses"], q["lines"]),
     }
 
 
@@ -84,26 +126,20 @@ def compiled(metric: dict[str, Column], rules=RULES) -> Column:
     return F.array_compact(F.array(*failed))
 
 
-def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """``docs`` with ``__q_failed`` (array of rule names) added."""
-    m = metrics(docs[text])
-    wide = docs.select("*", *[c.alias(f"__q_{k}") for k, c in m.items()])
-    return wide.select("*", compiled({k: wide[f"__q_{k}"] for k in m}, rules).alias("__q_failed"))
-
-
 def report(docs: DataFrame, rules=RULES) -> DataFrame:
     """One row for each document: doc_id, its metrics, the failed rules, kept or not."""
-    j = judge(docs.select("doc_id", "text"), rules=rules)
-    return j.select("doc_id", *[F.col(f"__q_{k}").cast("bigint" if k == "n_words" else "double").alias(k) for k in METRICS], F.array_join("__q_failed", ",").alias("failed"), (F.size("__q_failed") == 0).alias("kept"))
+    m = metrics()
+    failed = compiled(m, rules)
+    return counted(docs.select("doc_id", "text")).select("doc_id", *[m[k].cast("bigint" if k == "n_words" else "double").alias(k) for k in METRICS], F.array_join(failed, ",").alias("failed"), (F.size(failed) == 0).alias("kept"))
 
 
 def keep(docs: DataFrame, rules=RULES) -> DataFrame:
     """The documents that fail no rule, with their own columns only."""
-    return judge(docs, rules=rules).where(F.size("__q_failed") == 0).select(*[f"`{c}`" for c in docs.columns])
+    return counted(docs).where(F.size(compiled(metrics(), rules)) == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def _sql_metrics(table: str) -> str:
-    stop = "(?i)" + _STOP.replace("'", "''")
+    stop = "(?i)" + _STOP
     return rf"""
   SELECT *, CASE WHEN squeezed = '' THEN 0 ELSE len(words) END AS n_words_,
          len(string_split(t, chr(10))) AS n_lines
@@ -112,7 +148,7 @@ def _sql_metrics(table: str) -> str:
 """, rf"""
   n_words_ AS n_words,
   CASE WHEN n_words_ > 0 THEN round((length(squeezed) - n_words_ + 1) / n_words_::DOUBLE, 6) ELSE 0.0 END AS mean_word_chars,
-  CASE WHEN length(t) > 0 THEN round(len(regexp_extract_all(t, '{_SYMBOLS}')) / length(t)::DOUBLE, 6) ELSE 0.0 END AS symbol_ratio,
+  CASE WHEN length(t) > 0 THEN round(len(regexp_extract_all(t, '[{_SYMBOLS}]')) / length(t)::DOUBLE, 6) ELSE 0.0 END AS symbol_ratio,
   CASE WHEN n_words_ > 0 THEN round(len(regexp_extract_all(' ' || replace(squeezed, ' ', '  ') || ' ', '{stop}')) / n_words_::DOUBLE, 6) ELSE 0.0 END AS stop_word_ratio,
   CASE WHEN n_words_ > 0 THEN round(len(list_distinct(words)) / n_words_::DOUBLE, 6) ELSE 0.0 END AS distinct_word_ratio,
   round((n_lines - len(list_distinct(string_split(t, chr(10))))) / n_lines::DOUBLE, 6) AS duplicate_line_ratio,
