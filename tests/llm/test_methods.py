@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def some_words(rng, n, vocabulary=5000):
-    return [f"w{int(rng.paretovariate(0.7)) % vocabulary}" for _ in range(n)]
+    return [f"s{int(rng.paretovariate(0.8)) % 50}" if rng.random() < 0.3 else f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
 
 def compare(spark, name):
@@ -383,7 +383,7 @@ def test_fingerprint_against_definition():
     texts = ["one two three four five", "one", "", None, "The the THE the other Thing"]
     data, offs = kernels.utf8(pa.array(texts, pa.string()))
     fp, count = neardup.fingerprints(data, offs)
-    assert count.tolist() == [4, 1, 0, 0, 4]
+    assert count.tolist() == [4, 1, 0, 0, 3]
     doc, h = neardup.shingles(data, offs)
     for d in range(len(texts)):
         sums = np.zeros(256)

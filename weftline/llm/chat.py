@@ -27,7 +27,7 @@ _START_RE, _END_RE = r"<\|im_start\|>", r"<\|im_end\|>"
 
 def _escaped(c: Column, role: bool = False) -> Column:
     c = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), r"<\|", r"<\\|")
-    return F.regexp_replace(c, "\n", "\\\\\\\\\n") if role else c
+    return F.regexp_replace(c, "\n", "\\\\\n") if role else c
 
 
 def _plain(c: Column) -> Column:
@@ -61,7 +61,7 @@ def formatted(turns: DataFrame) -> DataFrame:
 #: In SQL the rule is direct: a turn conflicts if it holds a delimiter where the grammar would see one, or a backslash with a character after it.
 ORACLE = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT *, contains(text, '<|im_end|>' || chr(10)) OR contains(role, '<|im_end|>' || chr(10)) OR contains(role, chr(10)) OR regexp_matches(role || chr(10) || text, '(?s)\\.')
+c AS (SELECT *, contains(text, '<|im_end|>' || chr(10)) OR contains(role || chr(10), '<|im_end|>' || chr(10)) OR contains(role, chr(10)) OR regexp_matches(role || chr(10) || text, '(?s)\\.')
   AS conflict FROM t),
 o AS (SELECT *, CASE WHEN conflict
     THEN '<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10)) || chr(10) || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10)

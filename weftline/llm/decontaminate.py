@@ -1,18 +1,17 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-First pass: the number of documents holding each word n-gram of the test items is
-counted over the whole corpus.  An item's n-gram is a *seed* if at most
-``RARE_RATE`` of the documents hold it, or if it is the rarest of some ``WINDOW``
-consecutive n-grams of the item; so a passage that leaked into thousands of copies
-keeps its seeds, and any ``NGRAM + WINDOW - 1`` words in common are found whatever
-their frequency.  Second pass: seeds join passages of the documents to the items,
+First pass: the words of the test items are counted over the whole corpus.  An item's
+n-gram is a *seed* if the product of its words' shares of the corpus is at most
+``RARE``, or if that product is the least of some ``WINDOW`` consecutive n-grams of the
+item.  Rarity is judged by words, not by documents that hold the n-gram, because a
+passage that leaked into thousands of copies makes its own n-grams frequent and would
+lose its seeds.  Second pass: seeds join passages of the documents to the items,
 and each passage (the hits of one item that lie together, with the item's length on
 either side) is aligned with the item over words.  The score is the local alignment
 score over that of a perfect match (2 a word); ``THRESHOLD`` and above is a leak.
 
-The corpus is read twice and never shuffled: n-gram counts are combined in the
-worker and only those of benchmark n-grams leave it.  The benchmark's n-grams are
-broadcast in chunks of at most ``CHUNK_WORDS`` words; a larger benchmark takes more
+The corpus is read twice and never shuffled: counts are combined in the worker and only
+those of the items' words leave it.  The benchmark's words and seeds are broadcast in chunks of at most ``CHUNK_WORDS`` words; a larger benchmark takes more
 passes, not more memory.
 
 Defined results: a null, empty or word-less text or item matches nothing; items
@@ -33,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import written
+from .shared import unused, written
 
 NGRAM, WINDOW = 4, 4
-RARE_RATE = 1e-3
+RARE = 1e-8
 THRESHOLD = 0.5
 CHUNK_WORDS = 4_000_000
 SMALL_TABLE_BYTES = 64 << 20
@@ -62,23 +61,22 @@ class Items:
             mine = np.isin(item, own)
             self.sizes[size] = (g[mine], item[mine], at[mine] - cut[item[mine]])
 
-    def gram_keys(self) -> dict[int, np.ndarray]:
-        return {size: K.distinct(g)[0] for size, (g, _, _) in self.sizes.items()}
+    def word_keys(self) -> np.ndarray:
+        return K.distinct(np.concatenate([np.zeros(0, np.uint64), *self.words]))[0]
 
-    def seeds(self, counts: dict[int, np.ndarray], docs: int, rate: float = RARE_RATE, window: int = WINDOW) -> dict[int, tuple]:
-        """(keys, first row, rows of (item, position) by key) of the seeds of each gram size."""
+    def seeds(self, keys: np.ndarray, share: np.ndarray, rare: float = RARE, window: int = WINDOW) -> dict[int, tuple]:
+        """(keys, first row, items, positions) of the seeds of each gram size. share: of each word in the corpus."""
+        log = np.log(np.maximum(share, 1e-300))
+        weight = [np.concatenate(([0.0], np.cumsum(log[np.searchsorted(keys, x)]))) for x in self.words]
         out = {}
         for size, (g, item, pos) in self.sizes.items():
-            keys = K.distinct(g)[0]
-            df = counts[size][np.searchsorted(keys, g)]
-            take = df <= rate * docs
+            chance = np.array([weight[i][p + size] - weight[i][p] for i, p in zip(item.tolist(), pos.tolist(), strict=True)])
+            take = chance <= np.log(rare)
             bounds = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1], [True])))
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if take[a:b].all():
-                    continue
-                own = df[a:b]
-                for s in range(max(1, b - a - window + 1)):
-                    take[a + s + int(own[s : s + window].argmin())] = True
+                if not take[a:b].all():
+                    for s in range(max(1, b - a - window + 1)):
+                        take[a + s + int(chance[a + s : min(b, a + s + window)].argmin())] = True
             order = np.flatnonzero(take)
             order = order[np.argsort(g[order], kind="stable")]
             found, size_of = K.distinct(g[order])
@@ -86,36 +84,29 @@ class Items:
         return out
 
 
-def _gram_counts(docs: DataFrame, keys: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], int]:
-    """In how many documents each n-gram occurs, and the number of documents."""
+def _word_shares(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """The share of each word in all words of the corpus."""
     shared = docs.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = {s: K.Lookup(k) for s, k in shared.value.items()}
-        total = {s: np.zeros(len(k), np.int64) for s, k in shared.value.items()}
-        rows = 0
+        look = K.Lookup(shared.value)
+        total, words = np.zeros(len(shared.value), np.int64), 0
         for b in batches:
-            rows += b.num_rows
             data, offs = K.utf8(b.column(0))
             for i, j in K.blocks(offs):
                 w = K.Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                for s, lk in look.items():
-                    g, at = w.grams(s)
-                    hit, key = lk.find(g)
-                    once, _ = K.distinct((w.doc[at[hit]].astype(np.uint64) << np.uint64(32)) | key.astype(np.uint64))
-                    total[s] += np.bincount((once & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(total[s]))
-        size = np.concatenate([np.full(np.count_nonzero(t), s) for s, t in total.items()] + [[0]])
-        index = np.concatenate([np.flatnonzero(t) for t in total.values()] + [[0]])
-        n = np.concatenate([t[t > 0] for t in total.values()] + [[rows]])
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (size, index, n)], names=["size", "i", "n"])
-
-    counts, n_docs = {s: np.zeros(len(k), np.int64) for s, k in keys.items()}, 0
-    for size, i, n in docs.select("text").mapInArrow(run, "size bigint, i bigint, n bigint").groupBy("size", "i").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
-        if size:
-            counts[size][i] = n
+                total += np.bincount(look.find(w.hash)[1], minlength=len(total))
+                words += len(w.hash)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], words))], names=["i", "n"])
+
+    counts, words = np.zeros(len(keys)), 0
+    for i, n in docs.select("text").mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
+        if i < 0:
+            words = n
         else:
-            n_docs = n
-    return counts, int(n_docs)
+            counts[i] = n
+    return counts / max(1, words)
 
 
 def passages(doc_hits: np.ndarray, positions: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -181,7 +172,7 @@ def _aligned(docs: DataFrame, items: Items, seeds: dict[int, tuple], threshold:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, chunk_words: int = CHUNK_WORDS, rare_rate: float = RARE_RATE, window: int = WINDOW) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, chunk_words: int = CHUNK_WORDS, rare: float = RARE, window: int = WINDOW) -> DataFrame:
     """One row for each document and test item whose alignment reaches the threshold."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("trim(text) <> ''").distinct()
@@ -193,16 +184,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, c
         items = Items([r[0] for r in rows], [r[1] for r in rows])
         if not items.sizes:
             continue
-        counts, n = _gram_counts(docs, items.gram_keys())
-        part = _aligned(docs, items, items.seeds(counts, n, rare_rate, window), threshold)
+        keys = items.word_keys()
+        part = _aligned(docs, items, items.seeds(keys, _word_shares(docs, keys), rare, window), threshold)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that leak no test item, with their own columns; those without an id are judged by their text."""
-    keyed = docs.select("*", F.xxhash64("text").alias("__text_hash"))
+    name = unused(docs, "__text_hash")
+    keyed = docs.select("*", F.xxhash64("text").alias(name))
     slim = docs.select(F.xxhash64("text").alias("doc_id"), "text")
     bad = written(leaks(slim, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
     side = F.broadcast(bad) if bad.count() * 16 <= SMALL_TABLE_BYTES else bad
-    return keyed.join(side, keyed["__text_hash"] == side["__bad"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return keyed.join(side, keyed[name] == side["__bad"], "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -129,10 +129,13 @@ class Index:
                     groups.append([d, d])
             for low, high in groups:
                 middle, width = (low + high) // 2, band + (high - low + 1) // 2
-                a, b = max(0, low - band), min(len(words), high + m + band)
-                score, same, x, y = K.align(query, words[a:b], band=width, diagonal=middle - a)
-                if score and same >= t.coverage * m and self.required[k] <= set(words[a + x : a + y].tolist()):
-                    found.append((k, same / m, same, a + x, a + y - 1))
+                todo = [(max(0, low - band), min(len(words), high + m + band))]
+                while todo:
+                    a, b = todo.pop()
+                    score, same, x, y = K.align(query, words[a:b], band=width, diagonal=middle - a)
+                    if score and same >= t.coverage * m and self.required[k] <= set(words[a + x : a + y].tolist()):
+                        found.append((k, same / m, same, a + x, a + y - 1))
+                        todo += [(a, a + x), (a + y, b)]  # a passage may be repeated close by
         found.sort(key=lambda f: (-f[2], -f[1], f[3], f[0]))
         kept: list[tuple[int, float, int, int, int]] = []
         for f in found:

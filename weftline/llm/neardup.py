@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .shared import written
+from .shared import unused, written
 
 BITS, WORDS64 = 256, 4
 RADIUS = 64
@@ -279,20 +279,24 @@ def groups(docs: DataFrame, **options) -> DataFrame:
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without all but one document of each group, with their own columns."""
-    keyed = docs.select("*", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    g = grouped(keyed.select("doc_id", "__row", "text"), ["doc_id", "__row"], **options)
-    order = Window.partitionBy("label").orderBy(F.col("doc_id").isNull(), "doc_id", "__row")
-    ranked = written(g.select("doc_id", "__row", F.row_number().over(order).alias("n")).where("n > 1 or doc_id is null"), "ranked")
-    # a repeated row is both the one that stays and one that goes: of those, one is picked by hand
-    loser = ranked.where("n > 1").select(F.col("doc_id").alias("__id"), F.col("__row").alias("__r")).distinct()
-    winner = g.select("doc_id", "__row", F.row_number().over(order).alias("n")).where("n = 1").select(F.col("doc_id").alias("__id"), F.col("__row").alias("__r"))
-    twice = written(loser.join(winner, loser["__id"].eqNullSafe(winner["__id"]) & (loser["__r"] == winner["__r"]), "left_semi"), "twice")
-    loser = written(loser, "losers")
-    few = loser.count() * 64 <= SMALL_TABLE_BYTES
-    side = F.broadcast(loser) if few else loser
-    match = keyed["doc_id"].eqNullSafe(side["__id"]) & (keyed["__row"] == side["__r"])
-    rest = keyed.join(side, match, "left_anti")
     own = [f"`{c}`" for c in docs.columns]
-    again = F.broadcast(twice) if few else twice
-    picked = keyed.join(again, keyed["doc_id"].eqNullSafe(again["__id"]) & (keyed["__row"] == again["__r"]), "left_semi").dropDuplicates(["doc_id", "__row"])
+    name = unused(docs, "__row")
+    keyed = docs.select("*", F.xxhash64(*own).alias(name))
+    g = grouped(keyed.select("doc_id", F.col(name).alias("__row"), "text"), ["doc_id", "__row"], **options)
+    order = Window.partitionBy("label").orderBy(F.col("doc_id").isNull(), "doc_id", "__row")
+    # of equal rows, one that stays has losers beside it
+    rank = g.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__r"), F.row_number().over(order).alias("__n"), F.count("*").over(Window.partitionBy("label")).alias("__size"))
+    rank = rank.where("__size > 1").groupBy("__id", "__r").agg(F.min("__n").alias("__n"), F.count("*").alias("__copies"))
+    named = written(rank.where("__n > 1 or __copies > 1"), "ranked")
+    few = named.count() * 64 <= SMALL_TABLE_BYTES
+
+    def side(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few else rows
+
+    def match(rows: DataFrame):
+        return keyed["doc_id"].eqNullSafe(rows["__id"]) & (keyed[name] == rows["__r"])
+
+    gone, twice = side(named), side(named.where("__n = 1"))
+    rest = keyed.join(gone, match(gone), "left_anti")
+    picked = keyed.join(twice, match(twice), "left_semi").dropDuplicates(["doc_id", name])
     return rest.select(*own).unionByName(picked.select(*own))

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 #: Function words of the corpus' languages (English, French, German, Spanish).
 STOP_WORDS = (
     "the of and to in is that it for on with as are be by this was at from or an not have "
@@ -79,9 +81,9 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     it, which would then evaluate the same patterns once for each rule that needs them.
     """
     own = [f"`{c}`" for c in docs.columns]
-    t = F.coalesce(docs[text], F.lit(""))
-    step = docs.select("*", F.inline(F.array(F.struct(F.trim(F.regexp_replace(t, _SPACE, " ")).alias("__q_squeezed")))))
-    t, s = F.coalesce(step[f"`{text}`"], F.lit("")), F.col("__q_squeezed")
+    t, name = F.coalesce(docs[text], F.lit("")), unused(docs, "__q_squeezed")
+    step = docs.select("*", F.inline(F.array(F.struct(F.trim(F.regexp_replace(t, _SPACE, " ")).alias(name)))))
+    t, s = F.coalesce(step[text], F.lit("")), F.col(name)
     counts = F.struct(
         F.length(t).alias("chars"),
         F.length(s).alias("squeezed"),
@@ -94,12 +96,12 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count(t, F.lit(_BULLET)).alias("bullets"),
         F.regexp_count(t, F.lit(_ELLIPSIS)).alias("ellipses"),
     )
-    return step.select(*own, F.inline(F.array(F.struct(counts.alias("__q")))))
+    return step.select(*own, F.inline(F.array(F.struct(counts.alias(unused(docs, "__q"))))))
 
 
-def metrics() -> dict[str, Column]:
-    """The metrics as expressions over ``__q``."""
-    q = {k: F.col(f"__q.{k}") for k in ("chars", "squeezed", "letters", "symbols", "stops", "distinct", "lines", "distinct_lines", "bullets", "ellipses")}
+def metrics(counts: str = "__q") -> dict[str, Column]:
+    """The metrics as expressions over the struct of counts."""
+    q = {k: F.col(counts)[k] for k in ("chars", "squeezed", "letters", "symbols", "stops", "distinct", "lines", "distinct_lines", "bullets", "ellipses")}
     n = F.when(q["squeezed"] == 0, F.lit(0)).otherwise(q["squeezed"] - q["letters"] + 1)
     return {
         "n_words": n,
@@ -135,7 +137,7 @@ def report(docs: DataFrame, rules=RULES) -> DataFrame:
 
 def keep(docs: DataFrame, rules=RULES) -> DataFrame:
     """The documents that fail no rule, with their own columns only."""
-    return counted(docs).where(F.size(compiled(metrics(), rules)) == 0).select(*[f"`{c}`" for c in docs.columns])
+    return counted(docs).where(F.size(compiled(metrics(unused(docs, "__q")), rules)) == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def _sql_metrics(table: str) -> str:

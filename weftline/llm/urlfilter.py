@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh_path
+from .shared import fresh_path, unused
 
 SHARD_ENTRIES = 1_000_000
 _SIGN = np.uint64(1 << 63)
@@ -147,8 +147,9 @@ def present_shards(x: np.ndarray) -> list[int]:
 
 def filtered(pages: DataFrame, index: Index, column: str = "url") -> DataFrame:
     """The pages whose URL is no entry, with their own columns."""
-    marked = index.marked(pages, column, "__blocked")
-    return marked.where("not __blocked").drop("__blocked")
+    flag = unused(pages, "__blocked")
+    marked = index.marked(pages, column, flag)
+    return marked.where(~F.col(flag)).drop(flag)
 
 
 #: Words that make a page's URL an entry of the demonstration list.
