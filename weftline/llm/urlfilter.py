@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh_path, unused
+from .shared import fresh_path, unused, written
 
 SHARD_ENTRIES = 1_000_000
 _SIGN = np.uint64(1 << 63)
@@ -92,6 +92,8 @@ class Index:
         os.makedirs(self.folder)
         folder = self.folder
         rows = entries.select(F.col(column).cast("string").alias("url")).where("url is not null and url <> ''").distinct()
+        # the list may be costly to make, and is counted before it is spread
+        rows = written(rows, "entries")
         rows = rows.withColumn("digest", hashed("url"))
         self.shards = max(1, -(-rows.count() // shard_entries))
         rows = rows.withColumn("shard", self._shard(F.col("digest")))
