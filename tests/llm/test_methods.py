@@ -205,6 +205,22 @@ def test_lm_against_recursion(spark, order, share):
     assert np.allclose(model.score(data, offs, lane=order), want)
 
 
+def test_lm_keeps_what_is_rare_in_a_large_corpus(spark):
+    rare = "ⲁⲛⲟⲕ ⲡⲉ"
+    docs = spark.createDataFrame([(0, rare), (1, "all the same words again and again " * 60_000)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["bits_per_byte"] for r in lm_scoring.score(docs).collect()}
+    # from the second byte on, an n-gram that occurs once, alone in its context, has p = 1/4
+    assert got[0] < 4 and got[1] < 0.1
+
+
+def test_lm_table_in_shards(spark):
+    texts = ["hello hello world", "héllo there", "", "zebra", "a" * 60 + "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = lm_scoring.train(docs, 3, shard_arcs=16)
+    got = {r["doc_id"]: r["log_prob"] for r in lm_scoring.scored(docs, model).collect()}
+    assert np.allclose([got[k] for k in range(len(texts))], brute_lm(texts, 3, 1)[0])
+
+
 def test_lm_tells_noise_from_text(spark):
     rng = random.Random(1)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")

@@ -2,15 +2,16 @@
 
 Training counts the byte n-grams of the order ``ORDER`` over the whole corpus: a
 worker sorts and merges the n-grams of its partition, a shuffle adds them up.  Counts
-of the lower orders are sums over the suffixes, taken from the same table.  N-grams
-whose share of all bytes is below ``MIN_SHARE`` are pruned, at every size alike, which
-bounds each order by ``1 / MIN_SHARE`` n-grams whatever the corpus; so the model that
-is broadcast has at most ``ORDER / MIN_SHARE`` arcs, and this is checked.
+of the lower orders are sums over the suffixes, each order taken from the next.  Every
+n-gram that occurs is kept, so the model grows with the corpus.
 
 Smoothing is absolute discounting with backoff.  Contexts become the states of an
 automaton: an arc for each n-gram kept, with its log-probability, to the state of the
 longest context that follows, and a failure arc, with the log of the backoff weight,
-to the context without its oldest byte.  At the root all 256 bytes have an arc.
+to the context without its oldest byte.  At the root all 256 bytes have an arc.  Joins
+and windows by context compute the arcs; tasks write them, by shards of their hash, into
+a table of the shared folder (which all workers must mount) that scorers map into memory.
+The driver sees only counts, and nothing is broadcast.
 Scoring is one left-to-right traversal that carries the state and adds up
 log-probabilities, for thousands of lanes in step.  A long text is cut into several
 lanes; a lane begins ``ORDER - 1`` bytes early from the root without adding anything,
@@ -25,23 +26,27 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import written
+from .shared import fresh_path, written
+from .urlfilter import local_path
 
 ORDER = 5
-MIN_SHARE = 1e-6
+SHARD_ARCS = 1_000_000
 DISCOUNT = 0.75
 LANE = 512
 BLOCK = 1 << 22
 _BITS = 9
-_EMPTY = -1
+#: No arc has this key, so what no task writes is empty.
+_EMPTY = 0
+_FILES = {"keys": np.int64, "size": np.uint8, "logp": np.float64}
 
 
 def codes(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -100,89 +105,32 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Model:
-    """The automaton as arrays. grams[k]: (code, count) of order k; totals[k]: (code, count) of contexts of k symbols."""
-
-    def __init__(self, grams: dict[int, tuple], totals: dict[int, tuple], order: int = ORDER, discount: float = DISCOUNT):
-        self.order = order
-        mask = lambda k: (1 << _BITS * k) - 1
-        contexts = [np.zeros(1, np.int64)]
-        for k in range(1, order):
-            contexts.append(K.distinct(grams[k + 1][0] >> _BITS)[0])
-        base = np.concatenate(([0], np.cumsum([len(c) for c in contexts])))
-        self.states = int(base[-1])
-        self.contexts, self.base = contexts, base
-
-        def state(k: int, code: np.ndarray) -> np.ndarray:
-            """Ids of contexts of k symbols, -1 where there is none."""
-            at = np.minimum(np.searchsorted(contexts[k], code), len(contexts[k]) - 1)
-            return np.where(contexts[k][at] == code, at + base[k], -1) if len(contexts[k]) else np.full(len(code), -1)
-
-        self.fail = np.zeros(self.states, np.int32)
-        self.backoff = np.zeros(self.states)
-        n1 = np.zeros(256)
-        c1, m1 = grams[1]
-        n1[c1 - 1] = m1
-        prob = (n1 + 1) / (n1.sum() + 256)
-        arcs = [(np.zeros(256, np.int64), np.arange(256), prob)]
-        for k in range(1, order):
-            code, n = grams[k + 1]
-            own = state(k, code >> _BITS)
-            sym = (code & 511) - 1
-            shorter = state(k - 1, (code >> _BITS) & mask(k - 1))
-            low_state, low_sym, low_prob = arcs[-1]
-            low_key = low_state * 256 + low_sym
-            below = low_prob[np.searchsorted(low_key, shorter * 256 + sym)]
-            total = totals[k][1][np.searchsorted(totals[k][0], code >> _BITS)]
-            p = (n - discount) / total
-            at = own - base[k]
-            kept, lower = np.bincount(at, p, len(contexts[k])), np.bincount(at, below, len(contexts[k]))
-            left = 1 - lower
-            full = left < 1e-12
-            p = np.where(full[at], p / kept[at], p)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                self.backoff[base[k] : base[k + 1]] = np.where(full, 0.0, np.log((1 - kept) / left))
-            self.fail[base[k] : base[k + 1]] = state(k - 1, contexts[k] & mask(k - 1))
-            arcs.append((own, sym, p))
-        nxt = []
-        for k in range(order):
-            history = (np.arange(256) + 1) if k == 0 else grams[k + 1][0]
-            to = np.zeros(len(history), np.int64)
-            for size in range(1, min(k + 1, order - 1) + 1):
-                found = state(size, history & mask(size))
-                to = np.where(found >= 0, found, to)
-            nxt.append(to)
-        key = np.concatenate([s * 256 + w for s, w, _ in arcs])
-        self.start = 0
-        for size in range(1, order):
-            found = int(state(size, np.zeros(1, np.int64))[0])
-            self.start = found if found >= 0 else self.start
-        slots = 1 << max(10, int(np.ceil(np.log2(len(key) * 3))))
-        self.shift = 64 - int(np.log2(slots))
-        self.keys = np.full(slots, _EMPTY, np.int64)
-        self.to, self.logp = np.zeros(slots, np.int32), np.zeros(slots)
-        todo, slot = np.arange(len(key)), self._slot(key)
-        to, logp = np.concatenate(nxt), np.log(np.concatenate([p for _, _, p in arcs]))
-        while len(todo):
-            free = self.keys[slot] == _EMPTY
-            _, first = np.unique(np.where(free, slot, -1), return_index=True)
-            won = first[free[first]]
-            self.keys[slot[won]], self.to[slot[won]], self.logp[slot[won]] = key[todo[won]], to[todo[won]], logp[todo[won]]
-            rest = np.ones(len(todo), bool)
-            rest[won] = False
-            todo, slot = todo[rest], (slot[rest] + 1) & (slots - 1)
-        self.arcs = len(key)
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+    """The automaton as a hash table in files of the shared folder, which workers map.
+
+    A state is its context's code under its length; an arc's key is the state and the byte, and the key with symbol 0
+    holds the state's backoff.  Pickled, it is only the files' names.
+    """
+
+    def __init__(self, folder: str, order: int, shards: int, room: int, start: int, arcs: int):
+        self.folder, self.order, self.start, self.arcs = folder, order, start, arcs
+        self.room, self.shift = room, 64 - int(np.log2(shards * room))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("keys", "size", "logp")}
+
+    def opened(self) -> Model:
+        if not hasattr(self, "keys"):
+            self.keys, self.size, self.logp = (np.memmap(f"{self.folder}/{name}", kind, "r") for name, kind in _FILES.items())
+        return self
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """The slot of each arc, -1 where there is none."""
-        slot = self._slot(key)
+        slot = (_hash(key) >> np.uint64(self.shift)).astype(np.int64)
         have = self.keys[slot]
         out = np.where(have == key, slot, -1)
         open_ = np.flatnonzero((have != key) & (have != _EMPTY))
         while len(open_):
-            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+            slot[open_] = _following(slot[open_], self.room)
             have = self.keys[slot[open_]]
             same = have == key[open_]
             out[open_[same]] = slot[open_[same]]
@@ -191,23 +139,26 @@ class Model:
 
     def step(self, state: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next state and log-probability of each lane; where an arc is missing, failure arcs are taken."""
-        slot = self.find(state * 256 + sym)
-        miss = np.flatnonzero(slot < 0)
-        if not len(miss):
-            return self.to[slot].astype(np.int64), self.logp[slot]
+        width = _BITS * (self.order - 1)
+        slot = self.find(state << _BITS | (sym + 1))
         extra = np.zeros(len(state))
+        miss = np.flatnonzero(slot < 0)
         at = state[miss]
         while len(miss):
-            extra[miss] += self.backoff[at]
-            at = self.fail[at].astype(np.int64)
-            got = self.find(at * 256 + sym[miss])
+            extra[miss] += self.logp[self.find(at << _BITS)]
+            size = (at >> width) - 1
+            at = size << width | at & ((1 << _BITS * size) - 1)
+            got = self.find(at << _BITS | (sym[miss] + 1))
             ok = got >= 0
             slot[miss[ok]] = got[ok]
             miss, at = miss[~ok], at[~ok]
-        return self.to[slot].astype(np.int64), self.logp[slot] + extra
+        size = self.size[slot].astype(np.int64)
+        history = (state << _BITS | (sym + 1)) & ((1 << _BITS * size) - 1)
+        return size << width | history, self.logp[slot] + extra
 
     def score(self, data: np.ndarray, offs: np.ndarray, lane: int = LANE) -> np.ndarray:
         """Log-probability of each text of a block."""
+        self.opened()
         warm = self.order - 1
         size = np.diff(offs)
         per = -(-size // lane)
@@ -229,38 +180,125 @@ class Model:
         return np.bincount(doc, total, len(size))
 
 
-def train(docs: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE, discount: float = DISCOUNT) -> Model:
-    """Count the corpus' n-grams, prune by share, and build the automaton."""
-    counts = written(ngram_counts(docs, order), "ngrams")
-    size = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1, int(np.ceil(min_share * size)))
-    mask = lambda k: (1 << _BITS * k) - 1
-    part = None
+def _hash(key: np.ndarray) -> np.ndarray:
+    key = key.astype(np.uint64)
+    return (key ^ (key >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _following(slot: np.ndarray, room: int) -> np.ndarray:
+    """The next slot; a shard's last is followed by its first."""
+    return slot & ~(room - 1) | (slot + 1) & (room - 1)
+
+
+def _filled(key: np.ndarray, room: int, shards: int) -> np.ndarray:
+    """The slot, within its shard, of each key."""
+    slot = (_hash(key) >> np.uint64(64 - int(np.log2(shards * room)))).astype(np.int64) & (room - 1)
+    taken, todo = np.zeros(room, bool), np.arange(len(key))
+    while len(todo):
+        free = np.flatnonzero(~taken[slot[todo]])
+        _, first = np.unique(slot[todo[free]], return_index=True)
+        taken[slot[todo[free[first]]]] = True
+        rest = np.ones(len(todo), bool)
+        rest[free[first]] = False
+        todo = todo[rest]
+        slot[todo] = _following(slot[todo], room)
+    return slot
+
+
+def _entries(counts: DataFrame, order: int, least: int, discount: float) -> DataFrame:
+    """(key, size, p): the arcs with the length of the next state, and the backoff weights, level by level."""
+    spark = counts.sparkSession
+    width = _BITS * (order - 1)
+    low = lambda c, k: c.bitwiseAND(F.lit((1 << _BITS * k) - 1))
+    grams = {order: counts}
+    for k in range(order - 1, 0, -1):
+        grams[k] = written(grams[k + 1].groupBy(low(F.col("code"), k).alias("code")).agg(F.sum("n").alias("n")), f"grams{k}")
+    contexts = {k: grams[k + 1].where(F.col("n") >= least).select(F.shiftright("code", _BITS).alias("context")).distinct() for k in range(1, order)}
+    n1 = np.zeros(256)
+    for code, n in grams[1].where(F.col("n") >= least).collect():
+        n1[code - 1] = n
+    level = spark.createDataFrame([(w + 1, float(p)) for w, p in enumerate((n1 + 1) / (n1.sum() + 256))], "code bigint, p double").withColumn("shorter", F.lit(0))
+    out = None
     for k in range(1, order + 1):
-        for kind, code in (("g", F.col("code").bitwiseAND(F.lit(mask(k)))), ("t", F.shiftright("code", _BITS).bitwiseAND(F.lit(mask(k - 1))))):
-            one = counts.groupBy(code.alias("code")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(F.lit(f"{kind}{k if kind == 'g' else k - 1}").alias("what"), "code", "n")
-            part = one if part is None else part.unionByName(one)
-    rows = part.toArrow()
-    if rows.num_rows > 2 * order / min_share + 4 * order:
-        raise ValueError("the model is larger than pruning by share allows")
-    what = rows.column("what").to_pylist()
-    code, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
-    by: dict[str, tuple] = {}
-    index = np.array([{"g": 0, "t": 100}[w[0]] + int(w[1:]) for w in what], np.int64)
-    for k in range(order + 1):
-        for kind, add in (("g", 0), ("t", 100)):
-            m = index == k + add
-            o = np.argsort(code[m])
-            by[f"{kind}{k}"] = (code[m][o].astype(np.int64), n[m][o].astype(np.int64))
-    return Model({k: by[f"g{k}"] for k in range(1, order + 1)}, {k: by[f"t{k}"] for k in range(order)}, order, discount)
+        context = F.shiftright("code", _BITS)
+        if k > 1:
+            by = Window.partitionBy("context")
+            # in the order of the symbols, so that sums don't vary in the last place
+            whole = by.orderBy("code").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            own = grams[k].withColumn("context", context).withColumn("total", F.sum("n").over(by)).where(F.col("n") >= least)
+            below = level.select(F.col("code").alias("suffix"), F.col("p").alias("below"), F.col("size").alias("shorter"))
+            own = own.join(below, low(F.col("code"), k - 1) == F.col("suffix")).withColumn("p", (F.col("n") - discount) / F.col("total"))
+            own = own.withColumn("kept", F.sum("p").over(whole)).withColumn("left", 1 - F.sum("below").over(whole))
+            full = F.col("left") < 1e-12
+            level = own.select("code", F.when(full, F.col("p") / F.col("kept")).otherwise(F.col("p")).alias("p"), "shorter", "context", F.when(full, 1.0).otherwise((1 - F.col("kept")) / F.when(~full, F.col("left"))).alias("backoff"))
+        if k < order:
+            level = level.join(contexts[k].select(F.col("context").alias("again")), F.col("code") == F.col("again"), "left")
+            level = level.withColumn("size", F.when(F.col("again").isNotNull(), k).otherwise(F.col("shorter"))).drop("again")
+        else:
+            level = level.withColumn("size", F.col("shorter"))
+        level = written(level, f"arcs{k}")
+        state = lambda c, k=k: F.shiftleft(c + F.lit((k - 1) << width), _BITS)
+        part = level.select((state(context) + F.col("code").bitwiseAND(F.lit(511))).alias("key"), F.col("size").cast("int").alias("size"), "p")
+        out = part if out is None else out.unionByName(part)
+        if k > 1:
+            out = out.unionByName(level.groupBy("context").agg(F.first("backoff").alias("p")).select(state(F.col("context")).alias("key"), F.lit(0).alias("size"), "p"))
+    return out
+
+
+def train(docs: DataFrame, order: int = ORDER, min_share: float = 0.0, discount: float = DISCOUNT, shard_arcs: int = SHARD_ARCS) -> Model:
+    """Count the corpus' n-grams, and let tasks write the automaton. ``min_share``: prune those of a lesser share; by default none is."""
+    if not 2 <= order <= 6:
+        raise ValueError("a state and a byte of order 2 to 6 fit a key")
+    spark = docs.sparkSession
+    counts = written(ngram_counts(docs, order), "ngrams")
+    least = max(1, int(np.ceil(min_share * (counts.agg(F.sum("n")).first()[0] or 0)))) if min_share else 1
+    entries = written(_entries(counts, order, least, discount), "automaton")
+    size = entries.count()
+    shards = 1 << max(0, int(np.ceil(np.log2(size / shard_arcs))))
+    width = _BITS * (order - 1)
+    begin = [k << width << _BITS for k in range(1, order)]
+    start = max((r[0] >> _BITS for r in entries.where(F.col("key").isin(begin)).select("key").collect()), default=0)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            top = _hash(b.column(0).to_numpy()) >> np.uint64(32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((top * np.uint64(shards) >> np.uint64(32)).astype(np.int32))], names=["key", "size", "p", "shard"])
+
+    spread_out = written(entries.mapInArrow(spread, "key bigint, size int, p double, shard int"), "shards")
+    room = 1 << int(np.ceil(np.log2(2 * spread_out.groupBy("shard").count().agg(F.max("count")).first()[0])))
+    folder = local_path(fresh_path(spark, "model"))
+    os.makedirs(folder)
+    for name, kind in _FILES.items():
+        with open(f"{folder}/{name}", "wb") as f:
+            f.truncate(shards * room * np.dtype(kind).itemsize)
+
+    def write(t: pa.Table) -> pa.Table:
+        shard = t.column("shard")[0].as_py()
+        key, following, p = (t.column(c).to_numpy() for c in ("key", "size", "p"))
+        by = np.argsort(key)
+        slot = _filled(key[by], room, shards)
+        content = {"keys": (key, _EMPTY), "size": (following, 0), "logp": (np.log(p), 0)}
+        for name, kind in _FILES.items():
+            values, none = content[name]
+            part = np.full(room, none, kind)
+            part[slot] = values[by]
+            # a range of its own and the same bytes on every attempt
+            with open(f"{folder}/{name}", "r+b") as f:
+                f.seek(shard * part.nbytes)
+                f.write(part.tobytes())
+                f.flush()
+                os.fsync(f.fileno())
+        return pa.table({"shard": pa.array([shard], pa.int32())})
+
+    spread_out.groupBy("shard").applyInArrow(write, "shard int").collect()
+    return Model(folder, order, shards, room, start, size)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_bytes, log_prob (natural) and bits_per_byte of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model.opened()
         for b in batches:
             data, offs = K.utf8(b.column(1))
             lp = np.zeros(b.num_rows)
@@ -273,6 +311,6 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, log_prob double, bits_per_byte double")
 
 
-def score(docs: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, min_share: float = 0.0) -> DataFrame:
     """Train on all of ``docs`` and score them."""
     return scored(docs, train(docs, order, min_share))
