@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import html as H
 from weftline.functions import http
 from weftline.functions import urls as U
+from weftline.operators import routing
 
 NORMAL = [
     ("HTTP://Example.COM", "http://example.com/"),
@@ -88,6 +89,19 @@ def test_parser_agrees(spark):
     assert H.parse("<a href=", "https://e.com/")["hrefs"] == []
 
 
+def test_text_of_a_long_page_is_whole(spark):
+    words = "word " * 30_000
+    d = spark.createDataFrame([(f"<html><body><p>{words}end</p></body></html>", "https://e.com/")], "html string, url string")
+    got = d.select(H.text("html").alias("x"), H.page_facts("html", "url")["text"].alias("f"), H.text("html", 9).alias("cut")).first()
+    assert got.x == got.f == words + "end" and got.cut == "word word"
+
+
+def test_ratio_of_a_page_that_is_all_text(spark):
+    d = spark.createDataFrame([("<body>" + "word " * 130_000 + "</body>",)], "html string").select("html", H.text("html").alias("text"))
+    why = routing.content_check(F.col("text"), F.col("html"), F.lit("ok"), F.lit(200), min_text=600, min_ratio=0.2)
+    assert d.select(why).first()[0] == "ok"
+
+
 def test_outcomes(spark):
     rows = [(True, None, "", ""), (False, 503, "", ""), (False, 200, "x", "boom"), (False, None, "", "Timed out"), (False, None, "", "net::X"), (False, None, "", "?")]
     got = values(spark, rows, "s boolean, c int, h string, m string", http.outcome(F.col("s"), F.col("c"), F.col("h"), F.col("m")))

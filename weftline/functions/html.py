@@ -22,7 +22,7 @@ _REMOVED = r"(?is)<!--.*?-->|" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in DROPPE
 _HREF = r"""(?is)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 _NOFOLLOW = r"""(?is)\srel\s*=\s*("[^"]*nofollow|'[^']*nofollow|nofollow)"""
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-TITLE_CHARS, TEXT_CHARS = 512, 120_000
+TITLE_CHARS = 512
 
 
 def unescape(c: Column) -> Column:
@@ -37,7 +37,7 @@ def title(html) -> Column:
     return F.substring(unescape(F.regexp_replace(t, r"^[ \t\r\n]+|[ \t\r\n]+$", "")), 1, TITLE_CHARS)
 
 
-def text(html, max_chars: int = TEXT_CHARS) -> Column:
+def text(html, max_chars: int = 0) -> Column:
     """Visible text of the body, white space collapsed; 0 for no bound."""
     page = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), _REMOVED, " ")
     body = F.regexp_replace(page, r"(?is)^.*?<body\b[^>]*>|^.*?</head\s*>", "")
@@ -105,7 +105,7 @@ class _Facts(HTMLParser):
             self.words.append(data)
 
 
-def parse(page: str | None, base: str, max_chars: int = TEXT_CHARS) -> dict:
+def parse(page: str | None, base: str, max_chars: int = 0) -> dict:
     """The facts of one page; of unparsable markup those found before it."""
     p = _Facts()
     try:
