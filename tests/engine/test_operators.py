@@ -1,11 +1,13 @@
 """Traversal, frontier, dedup, politeness, routing, robots, sinks, settings."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from weftline import queries as Q
 from weftline.operators import crawl, dedup, frontier, politeness, robots, routing
 from weftline.operators.scope import allows
+from weftline.oracles import ORACLES
 from weftline.plans.config import CrawlConfig, Politeness
 from weftline.sources import corpus, sinks
 
@@ -21,6 +23,17 @@ def test_site_graph(spark):
     assert {k: got.counters[k] for k in ("discovered", "out_of_scope", "duplicates", "enqueued", "fetched")} == {"discovered": 32, "out_of_scope": 18, "duplicates": 2, "enqueued": 13, "fetched": 13}
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_traversal_of_the_page_table(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '/root/testdata/{sf}/pages.parquet'")
+    want = con.execute(ORACLES["q_crawl_depth1"]).fetchall()
+    got = Q.QUERIES["q_crawl_depth1"](spark, f"/root/testdata/{sf}")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    pages = con.execute("SELECT count(*) FROM pages").fetchone()[0]
+    assert got.where("depth = 0").count() == pages and got.where("depth = 1").count() > 0
+
+
 def test_page_budget_and_faults(spark):
     site = Q._site(spark).withColumn("fail_attempts", F.when(F.col("url").endswith("/1"), 1).when(F.col("url").endswith("/0"), 9).otherwise(0))
     got = crawl.crawl(spark, CrawlConfig(seeds=("http://site.test/",), scope="host", max_depth=4, max_pages=2), corpus.CorpusSource(site))

@@ -28,13 +28,13 @@ class Crawl(NamedTuple):
     counters: dict[str, int]
 
 
-def crawl(spark: SparkSession, config: CrawlConfig, source, robots: DataFrame | None = None) -> Crawl:
-    """Pages (url, depth, parent, status, http_status, attempt, title, n_links, links, text) and the counters."""
+def crawl(spark: SparkSession, config: CrawlConfig, source, robots: DataFrame | None = None, start: DataFrame | None = None) -> Crawl:
+    """Pages (url, depth, parent, status, http_status, attempt, title, n_links, links, text) and the counters. ``start``: a table (raw) of seeds beside the settings'."""
     began = time.monotonic()
     total = dict.fromkeys("discovered out_of_scope duplicates enqueued dropped robots_blocked fetched".split(), 0)
     seen_at, pages_at = fresh(spark, "seen"), fresh(spark, "pages")
-    frontier = stored(seeds(spark, config.seeds), "frontier")
-    total["enqueued"] = frontier.count()
+    frontier = stored(seeds(spark, config.seeds, start), "frontier")
+    total["enqueued"] = waiting = frontier.count()
     frontier.write.mode("append").parquet(seen_at)
     while total["fetched"] < config.max_pages and not (config.time_budget_s and time.monotonic() - began > config.time_budget_s):
         batch = frontier
@@ -43,7 +43,8 @@ def crawl(spark: SparkSession, config: CrawlConfig, source, robots: DataFrame |
             total["robots_blocked"] += marked.where("not allowed").count()
             batch = marked.where("allowed").select("url", "depth", "parent")
         left = config.max_pages - total["fetched"]
-        batch = turns(batch.withColumn("host", U.host_of("url")), order=("url",)).orderBy("turn", "host", "rn").limit(left).select("url", "depth", "parent")
+        if waiting > left:
+            batch = turns(batch.withColumn("host", U.host_of("url")), order=("url",)).orderBy("turn", "host", "rn").limit(left).select("url", "depth", "parent")
         got = source.fetch(batch)
         deeper = F.col("depth") < config.max_depth
         links = F.when(deeper, H.links("html", "url", config.strip_query)).otherwise(F.array().cast("array<string>"))
@@ -63,8 +64,12 @@ def crawl(spark: SparkSession, config: CrawlConfig, source, robots: DataFrame |
         counts = found.agg(F.count("*").alias("n"), F.count("why").alias("oos")).first()
         enqueued = fresh_rows.count()
         keyed = fresh_rows.withColumn("host", U.host_of("url")).withColumn("seq", F.col("url"))
-        frontier = stored(capped(keyed, config.max_frontier_per_host, config.max_frontier).select("url", "depth", "parent"), "frontier")
-        kept = frontier.count()
+        kept = enqueued
+        frontier = fresh_rows
+        if enqueued > min(config.max_frontier_per_host, config.max_frontier):
+            frontier = stored(capped(keyed, config.max_frontier_per_host, config.max_frontier).select("url", "depth", "parent"), "frontier")
+            kept = frontier.count()
+        waiting = kept
         fresh_rows.write.mode("append").parquet(seen_at)
         for k, v in (("discovered", counts.n), ("out_of_scope", counts.oos), ("duplicates", counts.n - counts.oos - enqueued), ("enqueued", kept), ("dropped", enqueued - kept)):
             total[k] += v

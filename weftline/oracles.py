@@ -99,6 +99,10 @@ ORACLES = {
     "q_crawl_graph": _GRAPH + "SELECT b.url, depth, parent, 'ok' AS status, 'Page ' || n AS title, CASE WHEN depth < 4 THEN (SELECT count(*) FROM e WHERE src = b.url) + 2 ELSE 0 END AS n_links FROM best b JOIN site USING (url)",
     "q_crawl_metrics": _GRAPH + """, f AS (SELECT count(*) AS pages, sum(CASE WHEN depth < 4 THEN (SELECT count(*) FROM e WHERE src = b.url) ELSE 0 END) AS inside, 2 * count(*) FILTER (WHERE depth < 4) AS out FROM best b)
 SELECT unnest(['discovered', 'out_of_scope', 'duplicates', 'enqueued', 'dropped', 'robots_blocked', 'fetched']) AS counter, unnest([inside + out, out, inside - (pages - 1), pages, 0, 0, pages])::BIGINT AS n FROM f""",
+    "q_crawl_depth1": LINKS + f""", f AS (SELECT url, min(src) AS parent FROM links WHERE NOT ({_BINARY.format(u='url')}) AND {_host('url')} <> '' AND url NOT IN (SELECT src FROM pg) GROUP BY url),
+n AS (SELECT page_id, count(*) AS n FROM links GROUP BY 1)
+SELECT src AS url, 0 AS depth, NULL::VARCHAR AS parent, 'ok' AS status, 200 AS http_status, {_TITLE} AS title, coalesce(n, 0)::INT AS n_links FROM pages JOIN pg USING (page_id) LEFT JOIN n USING (page_id) WHERE src <> ''
+UNION ALL SELECT url, 1, parent, 'http_error', 404, '', 0 FROM f""",
     "q_fetch_corpus": LINKS + "SELECT CASE WHEN src IS NULL THEN 'http_error' ELSE 'ok' END AS status, CASE WHEN src IS NULL THEN 404 ELSE 200 END AS http_status, count(*) AS n FROM (SELECT DISTINCT url FROM links) l LEFT JOIN (SELECT src FROM pg) g ON l.url = g.src GROUP BY 1, 2",
     "q_seen_anti": LINKS + "SELECT DISTINCT url FROM links WHERE url NOT IN (SELECT src FROM pg)",
     "q_seen_bloom": LINKS + "SELECT DISTINCT url FROM links WHERE url NOT IN (SELECT src FROM pg)",

@@ -11,7 +11,7 @@ from .functions import urls as U
 from .operators import crawl as C
 from .operators import dedup, frontier, metrics, politeness, resources, robots, routing, service
 from .operators.scope import reason
-from .plans.config import CrawlConfig
+from .plans.config import CrawlConfig, Output
 from .plans.storage import fresh
 from .sources import sinks
 from .sources.corpus import CorpusSource
@@ -19,6 +19,8 @@ from .streaming import limiter as S
 
 SEEDS = ("https://m.ththth.example.net/en/25", "http://ththre.example.com/fr/825")
 SCOPES = {m: CrawlConfig(seeds=SEEDS, scope=m, max_depth=1, deny_patterns=("/the",), allow_domains=("thther.example.org",)) for m in ("site", "host", "path", "any")}
+#: More than any table has rows.
+UNBOUNDED = 1 << 62
 VECTORS = ("HTTP://Example.COM", "https://example.com:443/a//b", "http://example.com:8080/x?b=2&a=1&utm_source=z", "https://e.com/p?&&x=1&GCLID=9#frag", "mailto:x@y.z", "javascript:void(0)", "#top", "", "  https://e.com/a b  ", "ftp://e.com/", "http://user:pw@e.com/", "https://a.b.co.uk/q.PDF?z", "//e.com/x", "/only/path", "https:///nohost")
 
 
@@ -125,6 +127,14 @@ def q_crawl_metrics(spark, d):
     return spark.createDataFrame([(k, v) for k, v in c.items()], "counter string, n bigint")
 
 
+def q_crawl_depth1(spark, d):
+    """The traversal over the whole page table: every page is a seed, and every link that no rule turns away is asked for."""
+    p = _table(spark, d, "pages")
+    config = CrawlConfig(scope="any", max_depth=1, max_pages=UNBOUNDED, max_frontier=UNBOUNDED, max_frontier_per_host=UNBOUNDED, output=Output(max_text_chars=0))
+    got = C.crawl(spark, config, CorpusSource(p.select(U.normalize("url").alias("url"), "html")), start=p.select(F.col("url").alias("raw")))
+    return got.pages.select("url", "depth", "parent", "status", "http_status", "title", "n_links")
+
+
 def q_fetch_corpus(spark, d):
     """Every distinct link asked of the page table."""
     got = CorpusSource(_table(spark, d, "pages").select(U.normalize("url").alias("url"), "html")).fetch(_links(spark, d).select("url").distinct())

@@ -60,9 +60,10 @@ class CorpusSource:
         )
 
 
-def seeds(spark: SparkSession, raw: tuple[str, ...]) -> DataFrame:
-    """Normalised distinct seeds at depth 0; none usable is an error. Seeds aren't held to the scope."""
-    rows = spark.createDataFrame([(s,) for s in raw], "raw string").select(urls.normalize("raw").alias("url")).where("url <> ''").distinct()
+def seeds(spark: SparkSession, raw: tuple[str, ...], more: DataFrame | None = None) -> DataFrame:
+    """Normalised distinct seeds at depth 0, also of a table (raw); none usable is an error. Seeds aren't held to the scope."""
+    rows = spark.createDataFrame([(s,) for s in raw], "raw string")
+    rows = (rows if more is None else rows.unionByName(more)).select(urls.normalize("raw").alias("url")).where("url <> ''").distinct()
     if rows.isEmpty():
         raise ValueError("no usable seed")
     return rows.select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
