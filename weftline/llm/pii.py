@@ -14,8 +14,8 @@ no table of entities to gather or join.  Two checks remain, and each walks the c
 on: a surrogate may not equal its entity, nor, in the same document, another entity
 found there; ``Surrogates.check`` holds every batch to distinctness.
 
-Only rows with a digit, ``@``, ``=`` or a word of the gazetteer are decoded; the rest
-pass through as Arrow buffers.  No shuffle, one scan.
+Only rows with a digit, ``@``, ``=``, ``:``, the start of an access key, a word of the
+gazetteer or a rare symbol are decoded; the rest pass through as Arrow buffers.  No shuffle, one scan.
 
 Defined results: null text stays null, empty text empty; very long texts are searched
 whole; repeated rows get the same text; other columns pass through, whatever their
@@ -54,17 +54,21 @@ _FIRST = "|".join(sorted(_GENDER, key=len, reverse=True))
 _UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
 _LOWER = "a-zß-öø-ÿά-ώа-я"
 _CAP = rf"[{_UPPER}](?:'[{_UPPER}])?[{_LOWER}]+(?:-[{_UPPER}][{_LOWER}]+)?"
-#: (type, pattern, the group that is replaced)
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_QUAD = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.[0-9])"
+_CARD = r"[0-9](?:[0-9]{12,18}|[0-9]{3}(?:[ -][0-9]{4}){3})(?![\w-])"
+_SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
+#: (type, pattern, the group that is replaced); a phone number doesn't run on into an address, card or social security number after it
 PATTERNS = (
     ("email", re.compile(r"[\w.%+-]*[\w%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), 0),
     ("secret", re.compile(r"""(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*["']?([A-Za-z0-9+/_.~-]{6,})"""), 1),
     ("access_key", re.compile(r"\b(?:AKIA|ASIA)([0-9A-Z]{16})\b"), 1),
     ("iban", re.compile(r"\b[A-Z]{2}([0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)\b"), 1),
-    ("phone", re.compile(r"(?<![\w+])\+[0-9]{1,3}[ .-]?(\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4})(?!\w)"), 1),
+    ("phone", re.compile(rf"(?<![\w+])\+[0-9]{{1,3}}[ .-]?(\(?[0-9]{{2,4}}\)?(?:(?: (?!{_QUAD})|[.-]?)[0-9]{{2,4}}){{2}}(?:(?: (?!{_QUAD}|{_CARD}|{_SSN})|[.-]?)[0-9]{{2,4}}){{0,2}})(?!\w)"), 1),
     ("phone", re.compile(r"(?<![\w(])(\([0-9]{3}\) ?[0-9]{3}-[0-9]{4})(?!\w)"), 1),
-    ("card", re.compile(r"(?<![\w.-])[0-9](?:[0-9]{12,18}|[0-9]{3}(?:[ -][0-9]{4}){3})(?![\w-])"), 0),
-    ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), 0),
-    ("ipv4", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])"), 0),
+    ("card", re.compile(rf"(?<![\w.-]){_CARD}"), 0),
+    ("ssn", re.compile(rf"(?<![\w-]){_SSN}"), 0),
+    ("ipv4", re.compile(rf"(?<![\w.]){_QUAD}"), 0),
     ("name", re.compile(rf"\b(?:{_FIRST})(?: {_CAP})+"), 0),
     ("name", re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? ({_CAP}(?: {_CAP})*)"), 1),
 )
@@ -193,7 +197,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     at, eq, digit = "@" in text, "=" in text or ":" in text, any(c in text for c in "0123456789")
     spans: list[tuple[int, int, str]] = []
     for kind, pattern, group in PATTERNS:
-        if (kind == "email" and not at) or (kind == "secret" and not eq) or (kind in ("access_key", "iban", "phone", "card", "ssn", "ipv4") and not digit):
+        if (kind == "email" and not at) or (kind == "secret" and not eq) or (kind in ("iban", "phone", "card", "ssn", "ipv4") and not digit):
             continue
         for m in pattern.finditer(text):
             a, b = m.span(group)
@@ -217,15 +221,20 @@ def scrub(text: str, surrogates: Surrogates) -> tuple[str, list[str]]:
 
 @lru_cache(maxsize=1)
 def _gazetteer() -> K.Lookup:
-    words = [*_GENDER, "Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora", "password", "passwd", "pwd", "secret", "token", "apikey", "api_key"]
+    words = [*_GENDER, "Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora"]
     return K.Lookup(np.concatenate(K.words_of(words)))
 
 
 def suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Which rows of a block hold a digit, ``@``, ``=`` or a word of the gazetteer."""
+    """Which rows of a block hold what some pattern needs: a digit, ``@``, ``=``, ``:``, ``AKIA``, ``ASIA``, a word of the gazetteer, or a symbol that hides where a word begins."""
     mark = np.zeros(256, bool)
-    mark[[64, 61, *range(48, 58)]] = True
-    at = np.flatnonzero(mark[data])
+    mark[[64, 61, 58, *range(48, 58), *range(0xEA, 256)]] = True
+    found = mark[data]
+    if len(data) > 3:
+        second = data[1:-2]
+        found[:-3] |= (data[:-3] == 65) & ((second == 75) | (second == 83)) & (data[2:-1] == 73) & (data[3:] == 65)
+        found[:-1] |= (data[:-1] == 0xE2) & (data[1:] != 0x80)
+    at = np.flatnonzero(found)
     w = K.Words(data, offs)
     hit, _ = _gazetteer().find(w.hash)
     flag = np.zeros(len(offs) - 1, bool)
