@@ -245,6 +245,17 @@ def edited(rng, words, rate):
     return out
 
 
+@pytest.mark.parametrize("step", [3, 4])
+def test_leaks_without_a_whole_seed(spark, step):
+    rng = random.Random(5)
+    items = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (3, 12, 20, 33)]
+    docs = [[f"new{k}" if k % step == step - 1 else w for k, w in enumerate(x)] for x in items[1:]]
+    docs += [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(100)]
+    df = spark.createDataFrame([(k, " ".join(b)) for k, b in enumerate(docs)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(b)) for k, b in enumerate(items)], "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()} == {(0, 1), (1, 2), (2, 3)}
+
+
 def test_leaks_against_full_alignment(spark):
     rng = random.Random(7)
     items = [some_words(rng, rng.randrange(12, 50)) for _ in range(20)]

@@ -3,7 +3,8 @@
 First pass: the words of the test items are counted over the whole corpus.  An item's
 n-gram is a *seed* if the product of its words' shares of the corpus is at most
 ``RARE``, or if that product is the least of some ``WINDOW`` consecutive n-grams of the
-item.  Rarity is judged by words, not by documents that hold the n-gram, because a
+item.  Three of four words (``GAPPED``) are seeds as well where they are as rare, so
+that a copy with every third or fourth word replaced has one.  Rarity is judged by words, not by documents that hold the n-gram, because a
 passage that leaked into thousands of copies makes its own n-grams frequent and would
 lose its seeds.  Second pass: seeds join passages of the documents to the items,
 and each passage (the hits of one item that lie together, with the item's length on
@@ -35,6 +36,8 @@ from . import kernels as K
 from .shared import unused, written
 
 NGRAM, WINDOW = 4, 4
+#: Three of four words: what is left where every third or fourth word of an item was replaced.
+GAPPED = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 RARE = 1e-8
 THRESHOLD = 0.5
 CHUNK_WORDS = 4_000_000
@@ -42,6 +45,20 @@ SMALL_TABLE_BYTES = 64 << 20
 SCHEMA = "doc_id bigint, item_id bigint, score double, matched_words int, item_words int, start_char bigint, end_char bigint"
 
 
+def grams(w: K.Words, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the words at the places of ``shape`` from each position, and the positions where they lie in one document."""
+    if shape == tuple(range(len(shape))):
+        return w.grams(len(shape))
+    m = len(w.hash) - shape[-1]
+    if m <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    g = w.hash[:m].copy()
+    for k in shape[1:]:
+        g = K.mix(g * np.uint64(0xD6E8FEB86659FD93) + w.hash[k : m + k])
+    at = np.flatnonzero(w.doc[:m] == w.doc[shape[-1] : m + shape[-1]])
+    return g[at], at
+
+
 class Items:
     """The words of a chunk of test items and their n-grams, one row for each item and position."""
 
@@ -50,31 +67,33 @@ class Items:
         w = K.Words(data, offs)
         cut = np.searchsorted(w.doc, np.arange(len(texts) + 1))
         self.ids, self.words, self.n = ids, [w.hash[cut[i] : cut[i + 1]] for i in range(len(texts))], n
-        self.sizes: dict[int, tuple] = {}
+        self.sizes: dict[tuple[tuple[int, ...], bool], tuple] = {}
         by: dict[int, list] = {}
         for k, x in enumerate(self.words):
             if len(x):
                 by.setdefault(min(n, len(x)), []).append(k)
-        for size, own in by.items():
-            g, at = w.grams(size)
+        shapes = [(tuple(range(size)), False, own) for size, own in by.items()]
+        shapes += [(shape, True, by[n]) for shape in GAPPED if n in by and shape[-1] < n]
+        for shape, partial, own in shapes:
+            g, at = grams(w, shape)
             item = w.doc[at]
             mine = np.isin(item, own)
-            self.sizes[size] = (g[mine], item[mine], at[mine] - cut[item[mine]])
+            self.sizes[shape, partial] = (g[mine], item[mine], at[mine] - cut[item[mine]])
 
     def word_keys(self) -> np.ndarray:
         return K.distinct(np.concatenate([np.zeros(0, np.uint64), *self.words]))[0]
 
-    def seeds(self, keys: np.ndarray, share: np.ndarray, rare: float = RARE, window: int = WINDOW) -> dict[int, tuple]:
-        """(keys, first row, items, positions) of the seeds of each gram size. share: of each word in the corpus."""
+    def seeds(self, keys: np.ndarray, share: np.ndarray, rare: float = RARE, window: int = WINDOW) -> dict[tuple[tuple[int, ...], bool], tuple]:
+        """(keys, first row, items, positions) of the seeds of each shape, whole or partial. share: of each word in the corpus."""
         log = np.log(np.maximum(share, 1e-300))
-        weight = [np.concatenate(([0.0], np.cumsum(log[np.searchsorted(keys, x)]))) for x in self.words]
+        weight = [log[np.searchsorted(keys, x)] for x in self.words]
         out = {}
         for size, (g, item, pos) in self.sizes.items():
-            chance = np.array([weight[i][p + size] - weight[i][p] for i, p in zip(item.tolist(), pos.tolist(), strict=True)])
+            chance = np.array([sum(weight[i][p + k] for k in size[0]) for i, p in zip(item.tolist(), pos.tolist(), strict=True)])
             take = chance <= np.log(rare)
             bounds = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1], [True])))
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if not take[a:b].all():
+                if not size[1] and not take[a:b].all():
                     for s in range(max(1, b - a - window + 1)):
                         take[a + s + int(chance[a + s : min(b, a + s + window)].argmin())] = True
             order = np.flatnonzero(take)
@@ -136,7 +155,7 @@ def _aligned(docs: DataFrame, items: Items, seeds: dict[int, tuple], threshold:
                 w = K.Words(part, base)
                 found = []
                 for s, lk in look.items():
-                    g, at = w.grams(s)
+                    g, at = grams(w, s[0])
                     hit, key = lk.find(g)
                     _, first, item, pos = seed[s]
                     n = first[key + 1] - first[key]
