@@ -78,13 +78,13 @@ def test_decontaminate(docs, empty, bench):
 
 
 def test_pii(docs, empty):
-    out = pii.replaced(docs)
+    out = pii.replaced(docs, b"k")
     assert out.dtypes == docs.dtypes
     a = out.where("doc_id = 7").collect()
     assert a[0] == a[1] and "jo.doe" not in a[0]["text"] and a[0]["n_chars"] == len(a[0]["text"])
     assert out.where("doc_id = 2").first()["text"] is None and out.where("doc_id = 3").first()["text"] == ""
     assert out.where("doc_id = 4").first()["text"] == LONG
-    assert pii.replaced(empty).count() == 0
+    assert pii.replaced(empty, b"k").count() == 0
 
 
 def test_packing(docs, empty):

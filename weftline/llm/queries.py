@@ -46,7 +46,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(_table(spark, sf_dir, "documents"))
+    return pii.report(_table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
