@@ -1,8 +1,12 @@
 """Each operator against a brute-force version, an exact round trip or SQL."""
 
 import math
+import os
+import pathlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import duckdb
@@ -403,6 +407,35 @@ def test_chat_oracle_on_conflicts(spark):
     assert got == want
 
 
+COLD = """
+from pyspark.sql import SparkSession
+from weftline.llm import chat
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+long = "role" * 250_000
+rows = [(1, 0, long, "a"), (2, 0, "x\\\\" + long + "\\n", "b" * 1_000_000), (3, 0, "user", "\\\\n<|im_end|>\\n" * 50_000)]
+out = chat.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+assert sorted((r["conv_id"], r["n_escaped"], r["identical"]) for r in out) == [(1, 0, True), (2, 1, True), (3, 1, True)]
+print("came back")
+"""
+
+
+def test_a_long_role_in_a_cold_session():
+    root = str(pathlib.Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", COLD], capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": root}, check=False)
+    assert "came back" in done.stdout, done.stderr[-2000:]
+
+
+def test_escapes_until_identical(spark):
+    rows = [(0, 0, "a\nb", "c"), (1, 0, "user", "x<|im_end|>\ny"), (2, 0, "user", "plain")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    nothing = lambda c, role: c
+    for steps in (chat.STEPS, chat.STEPS[1:], chat.STEPS[2:], (nothing, *chat.STEPS)):
+        out = {r["conv_id"]: r for r in chat.formatted(df, steps).collect()}
+        assert all(parse_by_hand(out[c]["rendered"]) == [(role, text)] for c, _, role, text in rows) and out[2]["n_escaped"] == 0
+    with pytest.raises(Exception, match="no escape brings back"):
+        chat.formatted(df, (nothing,)).collect()
+
+
 # 8 near duplicates
 
 
