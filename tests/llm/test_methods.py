@@ -97,22 +97,58 @@ def test_rollup_deltas(spark, tmp_path):
     total = lambda: {tuple(r)[:3]: tuple(r)[3:] for r in store.totals().collect()}
     assert total() == want
     store.compact()
-    assert total() == want and not store.commit("one", load) and store.committed() == {"one", "two"}
+    assert total() == want and not store.commit("one", load) and store.has("one") and store.has("two") and not store.has("three/odd name")
     assert store.commit("three/odd name", load.limit(1)) and total()[("a", "en", "v1")] == (2, 22)
     store.compact()
     assert total()[("a", "en", "v1")] == (2, 22)
     with pytest.raises(Exception, match="unknown op"):
         store.commit("bad", spark.createDataFrame([("upsert", "a", "en", "v1", 1, None)], cols))
-    assert "bad" not in store.committed() and total()[("a", "en", "v1")] == (2, 22)
+    assert not store.has("bad") and total()[("a", "en", "v1")] == (2, 22)
+
+
+def one_row(spark, n=4):
+    return spark.createDataFrame([("insert", "a", "en", "v", n)], "op string, source string, lang string, tokenizer string, n_tokens bigint")
 
 
 def test_a_batch_that_died_is_not_counted(spark, tmp_path):
     store = token_counts.Rollup(spark, f"file://{tmp_path}/r")
-    load = spark.createDataFrame([("insert", "a", "en", "v", 4)], "op string, source string, lang string, tokenizer string, n_tokens bigint")
-    token_counts.signed(load).write.parquet(f"file://{tmp_path}/r/batches/x")
-    (tmp_path / "r/batches/x/_SUCCESS").unlink()
+    token_counts.signed(one_row(spark)).write.parquet(f"file://{tmp_path}/r/attempts/x")
     assert store.totals().count() == 0
-    assert store.commit("x", load) and store.totals().first()["n_tokens"] == 4
+    assert store.commit("x", one_row(spark)) and store.totals().first()["n_tokens"] == 4
+
+
+def test_of_two_writers_of_a_batch_one_wins(spark, tmp_path, monkeypatch):
+    store = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    late = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    monkeypatch.setattr(late, "has", lambda batch: False)
+    assert store.commit("x", one_row(spark)) and not late.commit("x", one_row(spark))
+    assert store.totals().first()["n_docs"] == 1
+    for _ in range(3):
+        assert store.compact()
+    # the folder of the batch is gone, its id isn't forgotten
+    assert store._names("batches") == [] and store._names("attempts") == [] and len(store._names("generations")) == 2
+    assert late.commit("x", one_row(spark)) and not store.commit("x", one_row(spark))
+    assert store.totals().first()["n_docs"] == 1 and store.compact() and store.totals().first()["n_docs"] == 1
+
+
+def test_a_batch_committed_during_compaction_counts_once(spark, tmp_path, monkeypatch):
+    store = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    store.commit("one", one_row(spark))
+    sums = store._sums
+
+    def meanwhile(*args):
+        monkeypatch.setattr(store, "_sums", sums)
+        assert store.commit("two", one_row(spark, 5))
+        return sums(*args)
+
+    monkeypatch.setattr(store, "_sums", meanwhile)
+    assert store.compact() and store.totals().first()["n_tokens"] == 9
+    assert store.compact() and store.compact() and store.totals().first()["n_tokens"] == 9
+    # of two compactions at once one is dropped
+    monkeypatch.setattr(store, "_generation", lambda: 2)
+    assert not store.compact()
+    monkeypatch.undo()
+    assert store.totals().first()["n_tokens"] == 9
 
 
 def test_rollup_query_is_exact(spark):

@@ -3,10 +3,17 @@
 A ``Rollup`` is a folder of committed batches.  A batch of changes (inserts, deletes,
 revised counts) is turned into signed rows and added up by key before it is written, so
 a batch is as small as its keys; totals are the sum over committed batches.  A batch is
-committed by Spark's ``_SUCCESS`` marker under its own id: committing an id again does
-nothing, a batch that died half-way is written over, so a retried job never counts
-twice.  ``compact`` folds committed batches into a new generation with a ledger of their
-ids; a generation counts only when its ledger is complete.
+written under a name of its own and committed by renaming its folder to its id, which
+fails where that id is there: of two writers one wins, a batch that died half-way never
+counts, and committing an id again does nothing.  So one listing gives the committed
+batches.
+
+``compact`` lists once, folds exactly the batches it saw into a new generation (totals, and
+a ledger of all ids folded so far) and commits that by a rename as well.  A batch whose id
+is in the ledger never counts by itself, so one that is committed meanwhile, or comes back
+after it was folded, is neither lost nor counted twice.  Folders of folded batches and of
+old generations are deleted by the compaction after, when no reader should be left; a reader that
+is slower than that fails with an error and never sums a part.
 
 Changes have the columns op ('insert', 'delete' or 'revise'), source, lang, tokenizer,
 n_tokens (for a delete, the count to take away), and for revise old_tokens; a revise that
@@ -22,11 +29,13 @@ other columns are ignored.
 from __future__ import annotations
 
 import urllib.parse
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, written
+from .shared import fresh_path, remove, written
 from .tokens import TOKENIZER, token_counts, version
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -49,58 +58,93 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or fresh_path(spark, "rollup")
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+
+    def _names(self, folder: str) -> list[str]:
+        p = self._path(folder)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _exists(self, *parts: str) -> bool:
+        p = self._path(*parts)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def _placed(self, attempt: str, *target: str) -> bool:
+        """Rename an attempt to its final name; False if that is taken, and the attempt goes."""
+        p, to = self._path("attempts", attempt), self._path(*target)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(to.getParent())
+        jvm = self.spark._jvm
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration()).rename(p, to, none)
+        except Py4JJavaError as e:
+            fs.delete(p, True)
+            if not fs.exists(to):
+                raise e
+            return False
+        return True
 
-    def _exists(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return fs.exists(p)
+    def _generation(self) -> int:
+        return max(map(int, self._names("generations")), default=0)
 
-    def _names(self, folder: str, marker: str) -> list[str]:
-        fs, p = self._fs(f"{self.path}/{folder}")
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(n for n in names if self._exists(f"{self.path}/{folder}/{n}/{marker}"))
+    def _ledger(self, generation: int) -> DataFrame:
+        """(batch, generation): the names of the batches folded so far, and when they were."""
+        schema = "batch string, generation int"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/generations/{generation}/ledger") if generation else self.spark.createDataFrame([], schema)
 
-    def _generation(self) -> tuple[str | None, set[str]]:
-        found = self._names("generations", "ledger/_SUCCESS")
-        if not found:
-            return None, set()
-        last = max(found, key=int)
-        return last, {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/generations/{last}/ledger").collect()}
+    def _loose(self, generation: int) -> list[str]:
+        """Batches that are there and in no ledger."""
+        names = self._names("batches")
+        folded = {r[0] for r in self._ledger(generation).where(F.col("batch").isin(names)).select("batch").collect()} if names and generation else set()
+        return [n for n in names if n not in folded]
 
-    def committed(self) -> set[str]:
-        """Ids of the committed batches."""
-        return {urllib.parse.unquote(n) for n in self._names("batches", "_SUCCESS")} | self._generation()[1]
+    def has(self, batch: str) -> bool:
+        """Whether the batch is committed."""
+        name = urllib.parse.quote(batch, safe="")
+        return self._exists("batches", name) or not self._ledger(self._generation()).where(F.col("batch") == name).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch once; False if it had been applied."""
-        if batch in self.committed():
+        if self.has(batch):
             return False
-        signed(changes).write.mode("overwrite").parquet(f"{self.path}/batches/{urllib.parse.quote(batch, safe='')}")
-        return True
-
-    def _rows(self) -> DataFrame:
-        last, ledger = self._generation()
-        paths = [f"{self.path}/batches/{n}" for n in self._names("batches", "_SUCCESS") if urllib.parse.unquote(n) not in ledger]
-        if last:
-            paths.append(f"{self.path}/generations/{last}/totals")
+        attempt = uuid.uuid4().hex
+        signed(changes).write.parquet(f"{self.path}/attempts/{attempt}")
+        return self._placed(attempt, "batches", urllib.parse.quote(batch, safe=""))
+
+    def _rows(self, generation: int, names: list[str]) -> DataFrame:
+        paths = [f"{self.path}/batches/{n}" for n in names]
+        if generation:
+            paths.append(f"{self.path}/generations/{generation}/totals")
         return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens."""
-        sums = self._rows().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    def _sums(self, generation: int, names: list[str]) -> DataFrame:
+        sums = self._rows(generation, names).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self) -> None:
-        """Fold the committed batches into a new generation. The ledger is written last and makes it valid."""
-        last, _ = self._generation()
-        done = sorted(self.committed())
-        target = f"{self.path}/generations/{int(last or 0) + 1}"
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{target}/totals")
-        self.spark.createDataFrame([(d,) for d in done], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{target}/ledger")
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, n_docs, n_tokens."""
+        # the generation first: a batch that is folded after it was read is still there to be listed
+        last = self._generation()
+        return self._sums(last, self._loose(last))
+
+    def compact(self) -> bool:
+        """Fold the batches that are there now into a new generation; False if another compaction was faster."""
+        last = self._generation()
+        names = self._loose(last)
+        attempt = uuid.uuid4().hex
+        target = f"{self.path}/attempts/{attempt}"
+        self._sums(last, names).coalesce(1).write.parquet(f"{target}/totals")
+        new = self.spark.createDataFrame([(n, last + 1) for n in names], "batch string, generation int")
+        self._ledger(last).unionByName(new).write.parquet(f"{target}/ledger")
+        if not self._placed(attempt, "generations", str(last + 1)):
+            return False
+        there = self._names("batches")
+        old = {r[0] for r in self._ledger(last + 1).where(F.col("batch").isin(there) & (F.col("generation") <= last)).select("batch").collect()} if there else set()
+        for parts in [("batches", n) for n in old] + [("generations", n) for n in self._names("generations") if int(n) < last]:
+            remove(self.spark, "/".join((self.path, *parts)))
+        return True
 
 
 def rollup(docs: DataFrame, tokenizer: str = TOKENIZER, path: str | None = None) -> DataFrame:
