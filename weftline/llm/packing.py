@@ -1,6 +1,7 @@
 """Packing documents into training sequences by first-fit decreasing.
 
-Documents are dealt to random groups by a seeded hash of their id; each group is
+Documents are dealt to random groups by a seeded hash of their id, text and place in the
+table of lengths, so no repeated id or text, and no lack of ids, fills a group; each group is
 packed alone, so groups run in parallel and no order over the corpus is needed.
 Within a group pieces go, longest first, to the first bin with room.  A tournament
 tree over bin capacities, whose inner nodes hold the larger of their two children,
@@ -15,13 +16,12 @@ Lengths are exact token counts of a public byte-level BPE vocabulary.
 
 Defined results: null, empty texts have no tokens, and give one row with bin_id null;
 pieces of equal length go by doc_id, then by order of the text's hash; repeated rows are
-packed each for itself; rows without an id are all dealt to one group by their text;
+packed each for itself, also those without an id;
 an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,7 +97,7 @@ def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY, group_docs: int =
     """Pack (doc_id, h, n_tokens): group_id, bin_id within the group, doc_id, piece, its first token and length."""
     n = lengths.count()
     groups = max(1, -(-n // group_docs))
-    key: Column = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    key: Column = F.xxhash64("doc_id", "h", F.monotonically_increasing_id(), F.lit(seed))
     dealt = lengths.select(F.pmod(key, F.lit(groups)).alias("group_id"), "doc_id", "n_tokens", "h")
     return dealt.groupBy("group_id").applyInArrow(_pack(capacity), SCHEMA)
 
@@ -106,8 +106,3 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     """Pack the documents; lengths are counted once and written to the shared folder."""
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     return pack_lengths(written(token_counts(slim, ["doc_id", "h"], tokenizer), "lengths"), capacity, group_docs, seed)
-
-
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that any packing needs at least."""
-    return int(-(-int(np.sum(lengths)) // capacity))
