@@ -119,13 +119,11 @@ def _word_shares(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], words))], names=["i", "n"])
 
-    counts, words = np.zeros(len(keys)), 0
-    for i, n in docs.select("text").mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
-        if i < 0:
-            words = n
-        else:
-            counts[i] = n
-    return counts / max(1, words)
+    found = docs.select("text").mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    i, n = (found.column(c).to_numpy() for c in ("i", "n"))
+    counts = np.zeros(len(keys))
+    counts[i[i >= 0]] = n[i >= 0]
+    return counts / max(1, int(n[i < 0].sum()))
 
 
 def passages(doc_hits: np.ndarray, positions: np.ndarray, length: int) -> list[tuple[int, int]]:

@@ -163,42 +163,79 @@ class Lookup:
         return at[ok], k[ok]
 
 
-_SCORE, _MATCH, _START = 1 << 42, 1 << 21, (1 << 21) - 1
+SPAN = 1 << 20
 
 
-def align(query: np.ndarray, text: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1, band: int | None = None, diagonal: int = 0) -> tuple[int, int, int, int]:
-    """Best local alignment: (score, matched words, start, end) with the span in ``text``.
-
-    Smith-Waterman with linear gaps, a row of cells at a time.  A cell packs
-    score, matches and start into one integer, so no traceback is needed; of equal
-    scores the one with more matches, then the earlier start wins.  With ``band``
-    only cells within ``band`` of ``diagonal`` (text position minus query position)
-    are filled.
-    """
-    m, n = len(query), len(text)
-    if not m or not n:
-        return 0, 0, 0, 0
+def _sweep(query: np.ndarray, text: np.ndarray, costs: tuple[int, int, int], band: int | None, diagonal: int, matches: int, starts: int) -> tuple[int, int]:
+    """Largest cell and the end of its alignment. A cell packs the score, and below it ``matches`` bits of matched words and ``starts`` bits of the start (from the end, so that the earlier one is larger)."""
+    match, mismatch, gap = (c << matches + starts for c in costs)
+    one = 1 << matches + starts
+    counted = 1 << starts if matches else 0
+    n = len(text)
     cols = np.arange(n, dtype=np.int64)
-    fresh = _START - np.minimum(cols, _START)
-    ramp = cols * (-gap * _SCORE)
+    fresh = (1 << starts) - 1 - cols if starts else np.zeros(n, np.int64)
+    ramp = cols * -gap
     row = fresh.copy()
     best, end = 0, 0
-    for i in range(m):
-        same = text == query[i]
+    for i in range(len(query)):
         diag = np.empty(n, np.int64)
         diag[0] = fresh[0]
-        diag[1:] = np.where(row[:-1] >= _SCORE, row[:-1], fresh[1:])  # what begins at a column starts there
-        step = diag + np.where(same, match * _SCORE + _MATCH, mismatch * _SCORE)
-        new = np.maximum(np.maximum(step, row + gap * _SCORE), fresh)
+        diag[1:] = np.where(row[:-1] >= one, row[:-1], fresh[1:])  # what begins at a column starts there
+        step = diag + np.where(text == query[i], match + counted, mismatch)
+        new = np.maximum(np.maximum(step, row + gap), fresh)
         new = np.maximum.accumulate(new + ramp) - ramp
         new = np.maximum(new, fresh)
         if band is not None:
-            off = cols - i - diagonal
-            new = np.where(np.abs(off) <= band, new, fresh)
+            new = np.where(np.abs(cols - i - diagonal) <= band, new, fresh)
         j = int(new.argmax())
-        if new[j] >= _SCORE and new[j] > best:
+        if new[j] >= one and new[j] > best:
             best, end = int(new[j]), j + 1
         row = new
-    if best < _SCORE:
+    return best, end
+
+
+def _best(query: np.ndarray, text: np.ndarray, costs: tuple[int, int, int], band: int | None, diagonal: int, width: int) -> tuple[int, int, int, int]:
+    m, n = len(query), len(text)
+    starts, matches = n.bit_length(), m.bit_length()
+    top = (costs[0] * m - costs[2] * n).bit_length()
+    if top + starts + matches <= width:
+        best, end = _sweep(query, text, costs, band, diagonal, matches, starts)
+        mask = (1 << starts) - 1
+        return best >> matches + starts, best >> starts & (1 << matches) - 1, mask - (best & mask) if best else 0, end
+    if top + max(starts, matches) > 63:
+        raise ValueError("an alignment whose score doesn't fit a cell")
+    # the two fields in turn, the second over the span that the first found
+    best, end = _sweep(query, text, costs, band, diagonal, 0, starts)
+    mask = (1 << starts) - 1
+    score, start = best >> starts, mask - (best & mask) if best else 0
+    if not score:
+        return 0, 0, 0, 0
+    again, _ = _sweep(query, text[start:end], costs, band, diagonal - start, matches, 0)
+    return score, again & (1 << matches) - 1, start, end
+
+
+def align(query: np.ndarray, text: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1, band: int | None = None, diagonal: int = 0, span: int = SPAN, width: int = 63) -> tuple[int, int, int, int]:
+    """Best local alignment: (score, matched words, start, end) with the span in ``text``.
+
+    Smith-Waterman with linear gaps, a row of cells at a time.  A cell packs
+    score, matches and start into one integer, so no traceback is needed; of equal
+    scores the one with more matches, then the earlier start wins.  With ``band``
+    only cells within ``band`` of ``diagonal`` (text position minus query position)
+    are filled.
+
+    A text of more than ``span`` words is aligned in windows that overlap by the longest
+    span that an alignment with a positive score can have, so its length has no bound.
+    Where the fields don't fit in ``width`` bits, matches and start are found in turn.
+    """
+    m, n = len(query), len(text)
+    if not m or not n:
         return 0, 0, 0, 0
-    return best >> 42, (best >> 21) & _START, _START - (best & _START), end
+    costs = (match, mismatch, gap)
+    longest = m + m * match // -gap
+    span = max(span, 2 * longest)
+    best = (0, 0, 0, 0)
+    for low in range(0, max(1, n - longest), span - longest):
+        score, same, a, b = _best(query, text[low : low + span], costs, band, diagonal - low, width)
+        if score and (score, same, -a - low) > (best[0], best[1], -best[2]):
+            best = (score, same, a + low, b + low)
+    return best
