@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,12 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """``name``, lengthened until no column has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def flattened(df: DataFrame) -> DataFrame:
+    """``df`` with columns named by place, c0, c1 and so on: no name can clash, whatever the case and signs of the old ones."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, the first of each, beside which others may differ in case only."""
+    at = {n: df.columns.index(n) for n in names if n in df.columns}
+    if missing := [n for n in names if n not in at]:
+        raise ValueError(f"no column {', '.join(missing)}")
+    return flattened(df).select(*[F.col(f"c{at[n]}").alias(n) for n in names])
 
 
 def remove(spark: SparkSession, path: str) -> None:
