@@ -7,12 +7,16 @@ random patterns; a node joins the list of a pattern if its bits on the strip
 differ from the pattern in at most ``THETA`` places (its partial weight).  Nodes
 near each other join the same list far more often than others do.  A long list is
 filtered again in the same way on other strips; short lists are compared by brute
-force.  The number of lists follows from the target recall for a pair right at the
-radius, so it doesn't depend on the data; the number of filters made before the
+force.  The number of rounds follows from the target recall for a pair right at the
+radius (``round_recall``, exact for a strip shared by its patterns), so it doesn't depend on the data; the number of filters made before the
 shuffle grows with the logarithm of the number of nodes, so that a list fits a
-task at any size.  Each list gives a spanning forest of its near pairs, not all
-pairs, and connected components (large star, small star, every round written to
-the shared folder) give the groups.
+task at any size.  Lists are counted first: one that still is longer than ``LIST_ROWS``,
+as its nodes are all near each other, is cut into parts by hash, and each pair of parts is
+a task, so nothing is lost and no task holds more than two parts.  Each task gives a spanning forest of its near pairs, not all
+pairs: what is linked already isn't compared again, so a dense list costs little more than its
+length.  Connected components (large star, small star, every round written to
+the shared folder) give the groups.  Groups are counted by aggregation before they are joined,
+never gathered.
 
 Defined results: texts that are null, empty or without words belong to no group;
 a document with fewer than ``MIN_SHINGLES`` distinct word pairs matches only equal
@@ -30,19 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .shared import unused, written
+from .shared import flattened, picked, written
 
 BITS, WORDS64 = 256, 4
 RADIUS = 64
 MIN_SHINGLES = 8
 STRIP, THETA, PATTERNS = 16, 3, 94
-RECALL = 0.95
-LEAF = 4096
+RECALL, INNER_RECALL = 0.95, 0.985
+LEAF, PIVOTS = 4096, 8
 LIST_ROWS = 500_000
 SMALL_TABLE_BYTES = 64 << 20
 SEED = 20_150_811
@@ -110,20 +114,19 @@ def pass_probability(strip: int = STRIP, theta: int = THETA) -> float:
     return sum(math.comb(strip, i) for i in range(theta + 1)) / 2**strip
 
 
-def joint_probability(delta: float, strip: int = STRIP, theta: int = THETA) -> float:
-    """Chance that two nodes at relative distance ``delta`` both join a given list."""
+def round_recall(radius: int = RADIUS, strip: int = STRIP, theta: int = THETA, patterns: int = PATTERNS) -> float:
+    """Chance that a pair at the radius shares a list of one strip: over the places of the strip in which it differs, as all patterns share it."""
     total = 0.0
-    for d in range(strip + 1):
-        differ = math.comb(strip, d) * delta**d * (1 - delta) ** (strip - d)
+    for d in range(min(strip, radius) + 1):
+        differ = math.comb(radius, d) * math.comb(BITS - radius, strip - d) / math.comb(BITS, strip)
         both = sum(math.comb(d, a) * math.comb(strip - d, c) for a in range(d + 1) for c in range(strip - d + 1) if a + c <= theta and d - a + c <= theta)
-        total += differ * both / 2**strip
+        total += differ * (1 - (1 - both / 2**strip) ** patterns)
     return total
 
 
 def lists_needed(levels: int, recall: float = RECALL, radius: int = RADIUS) -> int:
-    """Rounds of ``PATTERNS``**levels lists that find a pair at the radius with the target recall."""
-    q = joint_probability(radius / BITS) ** levels
-    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-q) / PATTERNS**levels))
+    """Rounds that find a pair at the radius with the target recall; it has to pass every level of a round."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-(round_recall(radius) ** levels))))
 
 
 def levels_for(nodes: int, list_rows: int = LIST_ROWS) -> int:
@@ -161,86 +164,148 @@ def memberships(fp: np.ndarray, levels: int, rounds: int, seed: int = SEED) -> t
 
 
 class Forest:
-    """Components of the near pairs seen so far, and the pairs that joined them."""
+    """Components of the near pairs seen so far (union-find with path halving), and the pairs that joined them."""
 
     def __init__(self, n: int):
-        self.label, self.pairs = np.arange(n), []
+        self.parent, self.pairs = np.arange(n), []
+
+    def find(self, i: np.ndarray) -> np.ndarray:
+        """The root of each node."""
+        at = i
+        while True:
+            up = self.parent[at]
+            top = self.parent[up]
+            if (up == top).all():
+                self.parent[i] = up
+                return up
+            self.parent[at] = top
+            at = top
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
 
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        a, b = self.label[i], self.label[j]
-        for x, y, p, q in zip(a, b, i, j, strict=True):
-            u, v = self.label[p], self.label[q]
+    def hits(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Near pairs: of those between the same two components one is enough."""
+        a, b = self.find(i), self.find(j)
+        differ = a != b
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        _, first = np.unique(np.minimum(a, b).astype(np.uint64) << np.uint64(32) | np.maximum(a, b).astype(np.uint64), return_index=True)
+        for p, q in zip(i[first].tolist(), j[first].tolist(), strict=True):
+            u, v = self.root(p), self.root(q)
             if u != v:
-                self.label[self.label == max(u, v)] = min(u, v)
+                self.parent[max(u, v)] = min(u, v)
                 self.pairs.append((p, q))
 
-    def hits(self, i: np.ndarray, j: np.ndarray) -> None:
-        differ = self.label[i] != self.label[j]
-        i, j = i[differ], j[differ]
-        while len(i):
-            # one pair of each pair of labels is enough
-            key = (np.minimum(self.label[i], self.label[j]).astype(np.uint64) << np.uint64(32)) | np.maximum(self.label[i], self.label[j]).astype(np.uint64)
-            _, first = np.unique(key, return_index=True)
-            self.join(i[first], j[first])
-            differ = self.label[i] != self.label[j]
-            i, j = i[differ], j[differ]
-
-
-def brute(words: np.ndarray, idx: np.ndarray, forest: Forest, radius: int, rows: int = 64) -> None:
-    """Compare all of ``idx`` with each other. words: (n, 4) 64-bit."""
-    w = [np.ascontiguousarray(words[idx, k]) for k in range(WORDS64)]
-    n = len(idx)
-    for i in range(0, n, rows):
-        e = min(n, i + rows)
-        d = np.zeros((e - i, n - i), np.uint16)
-        for x in w:
-            d += np.bitwise_count(x[i:e, None] ^ x[None, i:])
-        a, b = np.nonzero(d <= radius)
-        up = b > a
+
+def _near(words: np.ndarray, some: np.ndarray, idx: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    d = np.zeros((len(some), len(idx)), np.uint16)
+    for k in range(WORDS64):
+        d += np.bitwise_count(words[some, k][:, None] ^ words[idx, k][None, :])
+    a, b = np.nonzero(d <= radius)
+    return some[a], idx[b]
+
+
+def brute(words: np.ndarray, idx: np.ndarray, forest: Forest, radius: int, cells: int = 1 << 20) -> None:
+    """Compare all of ``idx`` with each other, but for pairs within its largest component. words: (n, 4) 64-bit."""
+    label = forest.find(idx)
+    value, n = np.unique(label, return_counts=True)
+    own = label == value[n.argmax()] if n.max() > 1 else np.zeros(len(idx), bool)
+    rest, order = idx[~own], np.concatenate((idx[own], idx[~own]))
+    kept, step = int(own.sum()), max(1, cells // max(1, len(idx)))
+    for k in range(0, len(rest), step):
+        some = rest[k : k + step]
+        # each of the rest against the largest component, and what of the rest comes not before it
+        i, j = _near(words, some, np.concatenate((order[:kept], order[kept + k :])), radius)
+        up = i != j
         if up.any():
-            forest.hits(idx[a[up] + i], idx[b[up] + i])
+            forest.hits(i[up], j[up])
 
 
-def near_forest(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, recall: float = RECALL, seed: int = SEED) -> list[tuple[int, int]]:
-    """Spanning forest of the near pairs of a list; a list longer than ``leaf`` is filtered on further strips."""
+def near_forest(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, recall: float = INNER_RECALL, seed: int = SEED) -> list[tuple[int, int]]:
+    """Spanning forest of the near pairs of a list; a list longer than ``leaf`` is filtered on further strips, unless what is linked leaves few pairs to compare."""
     words = np.ascontiguousarray(fp).view(np.uint64)
     forest = Forest(len(fp))
 
     def solve(idx: np.ndarray, depth: int) -> None:
-        if len(idx) <= leaf or depth > 6:
+        if len(idx) > leaf:
+            rng = np.random.default_rng([seed, 5, depth, len(idx)])
+            for p in rng.choice(idx, PIVOTS, replace=False):
+                forest.hits(*_near(words, np.array([p]), idx, radius))
+        _, n = np.unique(forest.find(idx), return_counts=True)
+        if len(n) < 2:
+            return
+        if (len(idx) - n.max()) * len(idx) <= leaf * leaf or depth > 6:
             brute(words, idx, forest, radius)
             return
         bits = np.unpackbits(fp[idx], axis=1)
-        for r in range(lists_needed(1, max(recall, 0.97), radius)):
+        for r in range(lists_needed(1, recall, radius)):
             coords, patterns = _strip(np.random.default_rng([seed, 7, depth, r]))
             code = _codes(bits, coords)
             for p in patterns:
-                solve(idx[_POP16[code ^ p] <= THETA], depth + 1)
+                own = idx[_POP16[code ^ p] <= THETA]
+                if len(own) > 1:
+                    solve(own, depth + 1)
 
-    solve(np.arange(len(fp)), 1)
+    if len(fp) > 1:
+        solve(np.arange(len(fp)), 1)
     return forest.pairs
 
 
-def near_pairs(nodes: DataFrame, count: int, radius: int = RADIUS, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
+def near_pairs(nodes: DataFrame, count: int, radius: int = RADIUS, leaf: int = LEAF, recall: float = RECALL, list_rows: int = LIST_ROWS) -> DataFrame:
     """Pairs (a, b) of fingerprints within the radius that span all the components found."""
-    levels = levels_for(count)
+    levels = levels_for(count, list_rows)
     rounds = lists_needed(levels, recall, radius)
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         for b in batches:
             flat = b.column(0)
             fp = np.frombuffer(b"".join(flat.to_pylist()), np.uint8).reshape(-1, BITS // 8)
             for lo in range(0, len(fp), 2048):
                 row, lst = memberships(fp[lo : lo + 2048], levels, rounds)
-                yield pa.RecordBatch.from_arrays([pa.array(lst), flat.take(pa.array(row + lo))], names=["list", "fp"])
+                yield flat, row + lo, lst
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for _, _, lst in joined(batches):
+            for k, n in zip(*(x.tolist() for x in np.unique(lst, return_counts=True)), strict=True):
+                total[k] = total.get(k, 0) + n
+            if len(total) > 1_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["list", "n"])
+                total = {}
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["list", "n"])
+
+    long_lists = nodes.select("fp").mapInArrow(sizes, "list bigint, n bigint").groupBy("list").agg(F.sum("n").alias("n")).where(F.col("n") > list_rows)
+    # at most a row for each list_rows memberships
+    parts = {k: -(-n // list_rows) for k, n in long_lists.collect()} if count > list_rows else {}
+    shared = nodes.sparkSession.sparkContext.broadcast(parts)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = shared.value
+        hot = np.array(sorted(cut), np.int64)
+        for flat, row, lst in joined(batches):
+            own = [(row, lst, np.zeros(len(row), np.int64))]
+            if len(hot):
+                is_hot = np.isin(lst, hot)
+                own = [(row[~is_hot], lst[~is_hot], np.zeros(int((~is_hot).sum()), np.int64))]
+                for k in np.unique(lst[is_hot]).tolist():
+                    at, n = row[lst == k], cut[k]
+                    fp = np.frombuffer(b"".join(flat.take(pa.array(at)).to_pylist()), np.uint64).reshape(-1, WORDS64)
+                    part = (K.mix(fp[:, 0] + fp[:, 3]) % np.uint64(n)).astype(np.int64)
+                    for other in range(n):
+                        own.append((at, np.full(len(at), k), np.minimum(part, other) * n + np.maximum(part, other)))
+            at, k, part = (np.concatenate(x) for x in zip(*own, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(part), flat.take(pa.array(at))], names=["list", "part", "fp"])
 
     def solve(t: pa.Table) -> pa.Table:
         fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-        pairs = near_forest(fp, radius, leaf, recall, SEED)
+        pairs = near_forest(fp, radius, leaf)
         a, b = ([fp[p[k]].tobytes() for p in pairs] for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return nodes.select("fp").mapInArrow(lists, "list bigint, fp binary").groupBy("list").applyInArrow(solve, "a binary, b binary").distinct()
+    return nodes.select("fp").mapInArrow(lists, "list bigint, part bigint, fp binary").groupBy("list", "part").applyInArrow(solve, "a binary, b binary").distinct()
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -249,11 +314,12 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.select("u", "v", least.alias("m")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = F.min("v").over(Window.partitionBy("u"))
-        small = large.select("u", "v", low.alias("m"))
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        # least neighbours by aggregation and join: a hub's edges may be split over tasks
+        least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -261,42 +327,43 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
 
 
-def grouped(docs: DataFrame, keys: list[str], text: str = "text", radius: int = RADIUS, min_shingles: int = MIN_SHINGLES, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
-    """``keys`` of each document that has a fingerprint, with ``label``, the same for all of a group."""
+def grouped(docs: DataFrame, keys: list[str], text: str = "text", radius: int = RADIUS, min_shingles: int = MIN_SHINGLES, leaf: int = LEAF, recall: float = RECALL, list_rows: int = LIST_ROWS) -> DataFrame:
+    """``keys`` of each document that has a fingerprint, with ``label``, the same for all of a group; a table of the shared folder."""
     prints = written(fingerprinted(docs, keys, text).where("fp is not null"), "fingerprints")
     nodes = written(prints.where(F.col("n_shingles") >= min_shingles).select("fp").distinct(), "nodes")
-    count = nodes.count()
-    near = components(near_pairs(nodes, count, radius, leaf, recall))
-    return prints.join(near, prints.fp == near.node, "left").select(*keys, F.coalesce("label", "fp").alias("label"))
+    near = components(near_pairs(nodes, nodes.count(), radius, leaf, recall, list_rows))
+    return written(prints.join(near, prints.fp == near.node, "left").select(*keys, F.coalesce("label", "fp").alias("label")), "labels")
 
 
 def groups(docs: DataFrame, **options) -> DataFrame:
     """Members of groups of two or more: doc_id, keep_id (the group's least doc_id), group_size."""
-    w = Window.partitionBy("label")
-    g = grouped(docs, ["doc_id"], **options).select("doc_id", F.min("doc_id").over(w).alias("keep_id"), F.count("*").over(w).alias("group_size"))
-    return g.where("group_size > 1")
+    g = grouped(picked(docs, "doc_id", "text"), ["doc_id"], **options)
+    sizes = g.groupBy("label").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    return g.join(sizes, "label").select("doc_id", "keep_id", "group_size")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without all but one document of each group, with their own columns."""
-    own = [f"`{c}`" for c in docs.columns]
-    name = unused(docs, "__row")
-    keyed = docs.select("*", F.xxhash64(*own).alias(name))
-    g = grouped(keyed.select("doc_id", F.col(name).alias("__row"), "text"), ["doc_id", "__row"], **options)
-    order = Window.partitionBy("label").orderBy(F.col("doc_id").isNull(), "doc_id", "__row")
+    flat = flattened(docs)
+    own = flat.columns
+    # maps have no hash; rows that differ in them alone are the same
+    hashed = [c for c, f in zip(own, docs.schema, strict=True) if "map<" not in f.dataType.simpleString()]
+    keyed = flat.select("*", F.col(own[docs.columns.index("doc_id")]).alias("id"), F.xxhash64(*hashed).alias("row"))
+    g = grouped(keyed.select("id", "row", F.col(own[docs.columns.index("text")]).alias("text")), ["id", "row"], **options)
+    first = g.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    marked = g.join(first, "label").select("id", "row", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row"))).alias("stays"))
     # of equal rows, one that stays has losers beside it
-    rank = g.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__r"), F.row_number().over(order).alias("__n"), F.count("*").over(Window.partitionBy("label")).alias("__size"))
-    rank = rank.where("__size > 1").groupBy("__id", "__r").agg(F.min("__n").alias("__n"), F.count("*").alias("__copies"))
-    named = written(rank.where("__n > 1 or __copies > 1"), "ranked")
+    rank = marked.groupBy("id", "row").agg(F.max("stays").alias("stays"), F.count("*").alias("copies"))
+    named = written(rank.where("not stays or copies > 1"), "ranked")
     few = named.count() * 64 <= SMALL_TABLE_BYTES
 
     def side(rows: DataFrame) -> DataFrame:
         return F.broadcast(rows) if few else rows
 
     def match(rows: DataFrame):
-        return keyed["doc_id"].eqNullSafe(rows["__id"]) & (keyed[name] == rows["__r"])
+        return keyed["id"].eqNullSafe(rows["id"]) & (keyed["row"] == rows["row"])
 
-    gone, twice = side(named), side(named.where("__n = 1"))
+    gone, twice = side(named), side(named.where("stays"))
     rest = keyed.join(gone, match(gone), "left_anti")
-    picked = keyed.join(twice, match(twice), "left_semi").dropDuplicates(["doc_id", name])
-    return rest.select(*own).unionByName(picked.select(*own))
+    picks = keyed.join(twice, match(twice), "left_semi").dropDuplicates(["id", "row"])
+    return rest.select(*own).unionByName(picks.select(*own)).toDF(*docs.columns)
