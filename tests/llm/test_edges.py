@@ -7,7 +7,7 @@ import corpus_pipeline
 from weftline.llm import chat, decontaminate, licenses, lm_scoring, neardup, packing, pii, quality, token_counts, urlfilter
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-CLASH = "label fp n_shingles list h n_tokens group_id digest shard u d s c0 c1 __row n node a v code op turns out conflict url blocked item_id words squeezed t __text_hash doc".split()
+CLASH = "label fp n_shingles list h n_tokens group_id digest shard u d s c0 c1 __row n node a v code op turns out conflict url blocked item_id words squeezed t __text_hash doc TEXT Doc_Id H Turn Role `odd a.b".split()
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards mix potions near old stone bridges at dawn".split()
 LONG = " ".join(f"{WORDS[i % 20]}{i % 9973 if i % 3 else ''}" for i in range(200_000))
 
@@ -132,7 +132,7 @@ def test_chat(spark):
 
 def test_urls(spark):
     p = spark.createDataFrame([(1, "http://a/"), (1, "http://a/"), (2, None), (3, ""), (None, "http://b/" + "x" * 100_000)], "page_id bigint, url string")
-    p = p.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASH) if c != "url"])
+    p = p.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASH) if c.lower() != "url"], F.lit("x").alias("URL"))
     index = urlfilter.Index(p.where("page_id is null or page_id = 2 or page_id = 3"))
     out = urlfilter.filtered(p, index)
     assert out.columns == p.columns and sorted(r["page_id"] for r in out.collect()) == [1, 1, 2, 3]

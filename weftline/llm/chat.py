@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import picked
+
 START, END = "<|im_start|>", "<|im_end|>"
 _START_RE, _END_RE = r"<\|im_start\|>", r"<\|im_end\|>"
 
@@ -73,7 +75,7 @@ def until_identical(role: Column, text: Column, steps=STEPS) -> Column:
 
 def formatted(turns: DataFrame, steps=STEPS) -> DataFrame:
     """conv_id, n_turns, n_escaped, rendered and identical (the whole parses back to the source)."""
-    t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    t = picked(turns, "conv_id", "turn", "role", "text").select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     raw = render(F.col("role"), F.col("text"))
     t = t.withColumn("conflict", parse(raw) != F.array(F.struct("role", "text")))
     t = t.withColumn("out", F.when(F.col("conflict"), until_identical(F.col("role"), F.col("text"), steps)).otherwise(raw))

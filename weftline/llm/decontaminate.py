@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import unused, written
+from .shared import flattened, picked, written
 
 NGRAM, WINDOW = 4, 4
 #: Three of four words: what is left where every third or fourth word of an item was replaced.
@@ -192,7 +192,8 @@ def _aligned(docs: DataFrame, items: Items, seeds: dict[int, tuple], threshold:
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, chunk_words: int = CHUNK_WORDS, rare: float = RARE, window: int = WINDOW) -> DataFrame:
     """One row for each document and test item whose alignment reaches the threshold."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("trim(text) <> ''").distinct()
+    docs = picked(docs, "doc_id", "text")
+    bench = picked(benchmark, "item_id", "text").select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("trim(text) <> ''").distinct()
     chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = 1 + chars // (4 * chunk_words)
     out = None
@@ -209,9 +210,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, c
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that leak no test item, with their own columns; those without an id are judged by their text."""
-    name = unused(docs, "__text_hash")
-    keyed = docs.select("*", F.xxhash64("text").alias(name))
-    slim = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    bad = written(leaks(slim, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
+    flat = flattened(docs)
+    text = f"c{docs.columns.index('text')}"
+    keyed = flat.select("*", F.xxhash64(text).alias("h"))
+    slim = flat.select(F.xxhash64(text).alias("doc_id"), F.col(text).alias("text"))
+    bad = written(leaks(slim, benchmark, **options).select(F.col("doc_id").alias("bad")).distinct(), "leaks")
     side = F.broadcast(bad) if bad.count() * 16 <= SMALL_TABLE_BYTES else bad
-    return keyed.join(side, keyed[name] == side["__bad"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return keyed.join(side, keyed["h"] == side["bad"], "left_anti").drop("h").toDF(*docs.columns)

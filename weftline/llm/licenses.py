@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import picked
 
 K_GRAM, WINDOW = 3, 2
 BAND, COVERAGE = 8, 0.8
@@ -179,4 +180,4 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
             own = b.column(0).take(pa.array(col[0], pa.int64()))
             yield pa.RecordBatch.from_arrays([own, *[pa.array(c, kind) for c, kind in zip(col[1:], kinds, strict=True)]], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA)
+    return picked(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import fresh_path, written
+from .shared import fresh_path, picked, written
 from .urlfilter import local_path
 
 ORDER = 5
@@ -101,7 +101,7 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for lo in range(0, len(code), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(code[lo : lo + 100_000].astype(np.int64)), pa.array(n[lo : lo + 100_000])], names=["code", "n"])
 
-    return docs.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return picked(docs, "text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -308,7 +308,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             bits = -lp / np.maximum(n, 1) / np.log(2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(lp), pa.array(bits, mask=n == 0)], names=["doc_id", "n_bytes", "log_prob", "bits_per_byte"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, log_prob double, bits_per_byte double")
+    return picked(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, log_prob double, bits_per_byte double")
 
 
 def score(docs: DataFrame, order: int = ORDER, min_share: float = 0.0) -> DataFrame:

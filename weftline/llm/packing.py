@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import picked, written
 from .tokens import TOKENIZER, token_counts
 
 CAPACITY = 2048
@@ -104,5 +104,5 @@ def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY, group_docs: int =
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = SEED) -> DataFrame:
     """Pack the documents; lengths are counted once and written to the shared folder."""
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    slim = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     return pack_lengths(written(token_counts(slim, ["doc_id", "h"], tokenizer), "lengths"), capacity, group_docs, seed)

@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .shared import picked
 
 KEY_SETTING = "spark.weftline.pii.key"
 
@@ -373,4 +374,4 @@ def replaced(docs: DataFrame, key: bytes, text: str = "text", count: str | None
 
 def report(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, the text with surrogates, the number of entities and their types, of every document."""
-    return replaced(docs.select("doc_id", F.col("text").cast("string").alias("text")), key, count="n_entities", types="entity_types")
+    return replaced(picked(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text")), key, count="n_entities", types="entity_types")

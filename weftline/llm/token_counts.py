@@ -35,7 +35,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, remove, written
+from .shared import fresh_path, picked, remove, written
 from .tokens import TOKENIZER, token_counts, version
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -156,7 +156,7 @@ def rollup(docs: DataFrame, tokenizer: str = TOKENIZER, path: str | None = None)
     spark = docs.sparkSession
     store = Rollup(spark, path)
     # the files' count is settled once: estimate and exact count come from the same rows
-    slim = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.ceil(F.coalesce(F.length("text"), F.lit(0)) / 4).alias("estimate"), "text")
+    slim = picked(docs, "source", "lang", "text").select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.ceil(F.coalesce(F.length("text"), F.lit(0)) / 4).alias("estimate"), "text")
     counts = written(token_counts(slim, ["source", "lang", "estimate"], tokenizer), "token-counts").withColumn("tokenizer", F.lit(version(tokenizer)))
     store.commit("load", counts.select(F.lit("insert").alias("op"), *KEYS, F.col("estimate").alias("n_tokens")))
     exact = counts.select(F.lit("revise").alias("op"), *KEYS, "n_tokens", F.col("estimate").alias("old_tokens"))

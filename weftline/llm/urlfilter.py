@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh_path, unused, written
+from .shared import flattened, fresh_path, picked, written
 
 SHARD_ENTRIES = 1_000_000
 _SIGN = np.uint64(1 << 63)
@@ -149,9 +149,7 @@ def present_shards(x: np.ndarray) -> list[int]:
 
 def filtered(pages: DataFrame, index: Index, column: str = "url") -> DataFrame:
     """The pages whose URL is no entry, with their own columns."""
-    flag = unused(pages, "__blocked")
-    marked = index.marked(pages, column, flag)
-    return marked.where(~F.col(flag)).drop(flag)
+    return index.marked(flattened(pages), f"c{pages.columns.index(column)}", "blocked").where("not blocked").drop("blocked").toDF(*pages.columns)
 
 
 #: Words that make a page's URL an entry of the demonstration list.
@@ -165,7 +163,7 @@ def toxic_urls(pages: DataFrame) -> DataFrame:
 
 def report(pages: DataFrame) -> DataFrame:
     """page_id, url, blocked of every page, by the list of its toxic pages' URLs."""
-    return Index(toxic_urls(pages)).marked(pages.select("page_id", "url"), "url", "blocked")
+    return Index(toxic_urls(pages)).marked(picked(pages, "page_id", "url"), "url", "blocked")
 
 
 ORACLE = f"""
