@@ -10,6 +10,7 @@ import subprocess
 import sys
 import time
 from collections import Counter, defaultdict
+from urllib.parse import urlsplit
 
 import duckdb
 import numpy as np
@@ -923,6 +924,32 @@ def test_shards_hold_ranges(spark):
     assert sorted(r["page_id"] for r in urlfilter.filtered(p, index).collect()) == list(range(300, 500))
 
 
+def test_entries_against_brute_force(spark):
+    rng = random.Random(3)
+    hosts = ["a.com", "x.a.com", "b.org", "y.x.a.com", "za.com", "c.net"]
+    paths = ["", "/", "/p", "/p/", "/p/q", "/pq", "/p/q/r.html", "/P"]
+    urls = [f"{rng.choice(['http', 'HTTPS'])}://{rng.choice([h, h.upper()])}{rng.choice(['', ':80', ':8080'])}{path}{rng.choice(['', '?utm_source=x', '?b=2&a=1', '#f'])}" for h in hosts for path in paths for _ in range(4)]
+    entries = ["X.a.com", "b.org/p/", "c.net/p/q/r.html", "https://za.com/p?a=1&b=2", "http://A.com:80/#top", "", None, "  ", "mailto:x@y", "nothing/else"]
+
+    def canonical(u):
+        x = urlsplit(u)
+        q = sorted(p for p in x.query.split("&") if p and not p.startswith("utm_"))
+        port = f":{x.port}" if x.port and x.port != {"http": 80, "https": 443}[x.scheme] else ""
+        return f"{x.scheme}://{x.hostname}{port}{x.path or '/'}{'?' * bool(q)}{'&'.join(q)}"
+
+    def blocked(u):
+        x = urlsplit(u)
+        if canonical(u) in (canonical(entries[3]), canonical(entries[4])):
+            return True
+        h, path = x.hostname, x.path.rstrip("/") + "/"
+        return h == "x.a.com" or h.endswith(".x.a.com") or (h == "b.org" and path.startswith("/p/")) or (h == "c.net" and path.startswith("/p/q/r.html/"))
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    index = urlfilter.Index(spark.createDataFrame([(e,) for e in entries], "url string"), shard_entries=2)
+    got = {r["page_id"] for r in urlfilter.filtered(df, index).collect()}
+    assert got == {k for k, u in enumerate(urls) if not blocked(u)} and 0 < len(got) < len(urls)
+
+
 def test_another_scheme_is_refused():
     with pytest.raises(ValueError, match="mounted"):
         urlfilter.local_path("hdfs://x/y")
