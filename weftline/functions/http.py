@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 STATUSES = ("ok", "http_error", "timeout", "blocked_robots", "network_error", "backend_error", "skipped")
 RETRYABLE = ("timeout", "network_error", "backend_error")
-#: Substrings of messages by source: (timeouts, network errors).
+#: Words in the message of a failure, (timeouts, network errors), by how the source fetches.
 MARKERS = {
-    "plain": (("timeout", "timed out", "useragent"), ("dns", "connection", "refused", "reset", "ssl", "tls", "unreachable", "net::")),
-    "browser": (("timeout", "timed out"), ("net::", "dns", "connection", "refused", "unreachable", "ssl")),
+    # without a browser
+    "plain": ("timeout|timed out|useragent|took longer", "dns|connection|ssl|net::err|unreachable|closed"),
+    # a browser that is asked one page at a time
+    "browser": ("timeout|timed out", "net::err|connection|dns|ssl|econnrefused|unreachable"),
+    # a browser that is given batches
+    "batch": ("timeout|timed out", "net::err|connection|dns|ssl|econnrefused|unreachable|socket"),
 }
 
 
@@ -24,7 +28,7 @@ def is_retryable(status: Column) -> Column:
 
 def classify_error(message: Column, source: str = "browser") -> Column:
     m = F.lower(F.coalesce(message, F.lit("")))
-    slow, net = ("|".join(x) for x in MARKERS[source])
+    slow, net = MARKERS[source]
     return F.when(m.rlike(slow), "timeout").when(m.rlike(net), "network_error").otherwise("backend_error")
 
 
@@ -48,10 +52,31 @@ def lower_keys(headers: Column) -> Column:
     return F.map_from_entries(F.transform(names, lambda n: F.struct(n.alias("key"), F.filter(entries, lambda e: F.lower(e["key"]) == n)[0]["value"].alias("value"))))
 
 
-def retry_after(value: Column) -> Column:
+def seconds(value: Column) -> Column:
     """Delta seconds, not below 0; dates and junk give null."""
-    seconds = F.trim(value).try_cast("double")
-    return F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), seconds))
+    number = F.trim(value).try_cast("double")
+    return F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(0.0), number))
+
+
+def retry_after(headers: Column, spellings: tuple[str, ...] = ("retry-after", "Retry-After")) -> Column:
+    """Seconds of the header map's first non-empty entry of these spellings; the service knows only the lower-case one."""
+    given = F.coalesce(*[F.nullif(F.try_element_at(headers, F.lit(k)), F.lit("")) for k in spellings])
+    return seconds(given)
+
+
+def all_links(groups: Column) -> Column:
+    """Links that a source found itself, by group (internal, external): one list."""
+    return F.flatten(F.map_values(groups))
+
+
+def markdown(fit: Column, raw: Column, plain: Column) -> Column:
+    """The text that a source made itself: cleaned, raw, or as it is; the first that isn't empty."""
+    return F.coalesce(F.nullif(fit, F.lit("")), F.nullif(raw, F.lit("")), plain)
+
+
+def decoded(body: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes a replacement sign."""
+    return F.make_valid_utf8(body.cast("string"))
 
 
 def backoff(attempt: Column, base: float = 1.5) -> Column:

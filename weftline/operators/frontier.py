@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,25 @@ def pop_batch(frontier: DataFrame, limit: int, per_host: int = 1, hosts: DataFra
     return turns(frontier, per_host).orderBy("turn", "host", "rn").limit(limit)
 
 
+def next_turns(frontier: DataFrame, limit: int, order=("seq",)) -> DataFrame:
+    """The first ``limit`` rows by turns of the hosts, as a filter: only the turn in which the limit falls is cut by a top-k, of at most one row a host."""
+    t = turns(frontier, 1, order)
+    per_turn = sorted(t.groupBy("turn").count().collect())
+    whole, taken = 0, 0
+    for turn, n in per_turn:
+        if taken + n > limit:
+            break
+        whole, taken = turn, taken + n
+    out = t.where(F.col("turn") <= whole)
+    return out.unionByName(t.where(F.col("turn") == whole + 1).orderBy("host", *order).limit(limit - taken)) if taken < limit else out
+
+
+def next_ready_time(frontier: DataFrame, hosts: DataFrame, now: float) -> DataFrame:
+    """next_ready: the least time at which a host with rows that waits is ready; null where none waits."""
+    waits = frontier.select("host").distinct().join(hosts, "host").where(F.col("ready_at") > now)
+    return waits.agg(F.min("ready_at").alias("next_ready"))
+
+
 def stats(frontier: DataFrame, hosts: DataFrame, now: float) -> DataFrame:
     """queued, hosts, ready, deferred."""
     f = frontier.join(hosts, "host", "left").select("host", (F.coalesce("ready_at", F.lit(0.0)) <= now).alias("ready"))
@@ -47,5 +66,7 @@ def unseen(found: DataFrame, seen: DataFrame) -> DataFrame:
     return found.join(seen.select("url"), "url", "left_anti")
 
 
-def round_key(host: Column, url: Column) -> list[Column]:
-    return [host, url]
+def attempts(log: DataFrame, by=("url",)) -> DataFrame:
+    """``attempt``: which try of its URL each row of a log (ts, seq) is, from 0."""
+    w = Window.partitionBy(*by).orderBy("ts", "seq")
+    return log.withColumn("attempt", F.row_number().over(w) - 1)

@@ -48,17 +48,24 @@ class Bucket:
     def _resize(self, limits: Limits) -> None:
         self.burst = max(1.0, min(limits.burst, 2 * self.rate))
 
+    def filled(self, ts: float) -> float:
+        """Tokens at a later time."""
+        return min(self.burst, self.tokens + max(0.0, ts - self.updated) * self.rate)
+
     def ready_at(self, ts: float) -> float:
+        """When there is a token next; changes nothing."""
         if ts < self.blocked_until:
             return self.blocked_until
-        return ts if self.tokens >= 1 else ts + (1 - self.tokens) / self.rate
+        tokens = self.filled(ts)
+        return ts if tokens >= 1 else ts + (1 - tokens) / self.rate
 
     def on(self, signal: str, ts: float, arg: float | None, limits: Limits) -> bool | None:
         """Apply an event; for an acquire, whether it was granted."""
         if signal == "acquire":
-            self.tokens = min(self.burst, self.tokens + max(0.0, ts - self.updated) * self.rate)
-            self.updated = ts
-            if ts < self.blocked_until or self.tokens < 1:
+            if ts < self.blocked_until:
+                return False
+            self.tokens, self.updated = self.filled(ts), max(ts, self.updated)
+            if self.tokens < 1:
                 return False
             self.tokens -= 1
             return True

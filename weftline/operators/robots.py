@@ -65,6 +65,36 @@ def parsed(bodies: DataFrame, agent: str = "weftline") -> DataFrame:
     return bodies.select("origin", "http_status", "body").mapInPandas(run, SCHEMA)
 
 
+def fresh(robots: DataFrame, now: float, ttl_s: float = 3600.0) -> DataFrame:
+    """Rules that aren't older than ``ttl_s``; those of other origins have to be read again. robots: with fetched_at."""
+    return robots.where(F.lit(now) - F.col("fetched_at") < ttl_s)
+
+
+def lookups(requests: DataFrame, ttl_s: float = 3600.0) -> DataFrame:
+    """Requests (origin, ts, seq) with ``hit``: the origin's rules were read less than ``ttl_s`` before, at its last miss. State is carried over sorted rows."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, read = None, 0.0
+        for p in parts:
+            hit = []
+            for origin, ts in zip(p["origin"], p["ts"], strict=True):
+                known = origin == own and ts - read < ttl_s
+                hit.append(known)
+                if not known:
+                    own, read = origin, ts
+            yield p.assign(hit=hit)
+
+    slim = requests.select("origin", "ts", "seq")
+    return slim.repartition("origin").sortWithinPartitions("origin", "ts", "seq").mapInPandas(run, "origin string, ts double, seq bigint, hit boolean")
+
+
+def cache_stats(looked: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """robots_cached, robots_hits, robots_misses, robots_errors. failed: origins whose rules can't be had."""
+    rows = looked if failed is None else looked.join(failed.select("origin", F.lit(True).alias("bad")).distinct(), "origin", "left")
+    bad = F.count_if(~F.col("hit") & F.col("bad")) if failed is not None else F.lit(0).cast("bigint")
+    return rows.agg(F.countDistinct("origin").alias("robots_cached"), F.count_if("hit").alias("robots_hits"), F.count_if(~F.col("hit")).alias("robots_misses"), bad.alias("robots_errors"))
+
+
 def judged(requests: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
     """``requests`` with ``allowed`` and the origin's crawl delay; origins without a row are allowed.
 

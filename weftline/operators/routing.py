@@ -27,28 +27,56 @@ def sufficient(reason: Column) -> Column:
     return reason.isin("ok", "not-ok", "marker-present")
 
 
-def route(plain: DataFrame, rendered: DataFrame, judge=content_check) -> DataFrame:
-    """(url, text, html, status, http_status) of both tiers; only insufficient pages join the rendered tier.
-
-    A missing rendered page or one with less text leaves the plain page; of equal
-    lengths the rendered one is served.
+def route(plain: DataFrame, rendered: DataFrame, judge=content_check, memory: DataFrame | None = None, keep_html: bool = False) -> DataFrame:
+    """(url, text, html, status, http_status) of both tiers: url, tier, text, reason, outcome (and html of the page that is served).
+
+    One pass over the plain pages and one outer join: whether a row needs the rendered tier
+    is part of the join's condition, so sufficient pages match nothing.  A missing rendered
+    page or one with less text leaves the plain page; of equal lengths the rendered one is
+    served.  memory: URLs that are rendered without being judged, as their host is known to
+    need it; where that fails, the plain page is served.
     """
-    judged = plain.withColumn("reason", judge(F.col("text"), F.col("html"), F.col("status"), F.col("http_status")))
-    ok = judged.where(sufficient(F.col("reason"))).select("url", F.lit("plain").alias("tier"), "text", "reason", F.lit("sufficient").alias("outcome"))
-    r = rendered.select("url", F.col("text").alias("r_text"), F.lit(True).alias("r_there"))
-    more = judged.where(~sufficient(F.col("reason"))).join(r, "url", "left")
+    given = judge(F.col("text"), F.col("html"), F.col("status"), F.col("http_status"))
+    base = plain.withColumn("given", given)
+    by_rule = F.when(F.col("given"), "ok").otherwise("insufficient") if dict(base.dtypes)["given"] == "boolean" else F.col("given")
+    if memory is not None:
+        base = base.join(memory.select("url", F.lit(True).alias("known")).distinct(), "url", "left")
+        by_rule = F.when(F.col("known"), "host-cached").otherwise(by_rule)
+    base = base.select("url", "text", *(["html"] if keep_html else []), by_rule.alias("reason"))
+    r = rendered.select(F.col("url").alias("r_url"), F.col("text").alias("r_text"), *([F.col("html").alias("r_html")] if keep_html else []), F.lit(True).alias("r_there"))
+    j = base.join(r, (F.col("url") == F.col("r_url")) & ~sufficient(F.col("reason")), "left")
     n = lambda c: F.coalesce(F.length(c), F.lit(0))
-    outcome = F.when(F.col("r_there").isNull(), "escalation_failed").when(n("r_text") < n("text"), "rendered_not_better").otherwise("escalated")
-    more = more.withColumn("outcome", outcome)
+    shorter = (F.col("reason") != "host-cached") & (n("r_text") < n("text"))
+    outcome = F.when(sufficient(F.col("reason")), "sufficient").when(F.col("r_there").isNull(), F.when(F.col("reason") == "host-cached", "cached_failed").otherwise("escalation_failed")).when(shorter, "rendered_not_better").otherwise("escalated")
+    j = j.withColumn("outcome", outcome)
     took = F.col("outcome") == "escalated"
-    return ok.unionByName(more.select("url", F.when(took, "rendered").otherwise("plain").alias("tier"), F.when(took, F.col("r_text")).otherwise(F.col("text")).alias("text"), "reason", "outcome"))
+    pick = lambda a, b: F.when(took, F.col(a)).otherwise(F.col(b)).alias(b)
+    return j.select("url", F.when(took, "rendered").otherwise("plain").alias("tier"), pick("r_text", "text"), *([pick("r_html", "html")] if keep_html else []), "reason", "outcome")
 
 
 def stats(routed: DataFrame) -> DataFrame:
     n = F.count("*")
     of = lambda x: F.count_if(F.col("outcome") == x)
     up = F.count_if(F.col("outcome") != "sufficient")
-    return routed.agg(n.alias("requested"), of("sufficient").alias("served_plain"), up.alias("escalated"), of("escalation_failed").alias("escalation_failed"), of("rendered_not_better").alias("rendered_not_better"), F.round(F.when(n > 0, up / n).otherwise(0.0), 3).alias("escalation_rate"))
+    return routed.agg(
+        n.alias("requested"),
+        of("sufficient").alias("served_plain"),
+        up.alias("escalated"),
+        of("escalation_failed").alias("escalation_failed"),
+        of("rendered_not_better").alias("rendered_not_better"),
+        F.count_if(F.col("reason") == "host-cached").alias("host_cache_hits"),
+        F.round(F.when(n > 0, up / n).otherwise(0.0), 3).alias("escalation_rate"),
+    )
+
+
+def snapshot(routed: DataFrame, hosts: DataFrame, now: float) -> DataFrame:
+    """The counters with the reasons as a map, and how many hosts are known to need rendering. hosts: (host, until)."""
+    by = reasons(routed).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("escalation_reasons"))
+    need = hosts.where(F.col("until") > now).agg(F.countDistinct("host").alias("hosts_needing_render"))
+    one = stats(routed).withColumn("k", F.lit(1))
+    for part in (by, need):
+        one = one.join(part.withColumn("k", F.lit(1)), "k")
+    return one.drop("k").withColumn("browser_started", F.col("escalated") > 0)
 
 
 def reasons(routed: DataFrame) -> DataFrame:

@@ -29,6 +29,13 @@ def _plain(url: str) -> tuple[str, str]:
     return host, ".".join(p[-3:] if deep else p[-2:])
 
 
+def path_prefix(seed: str, strict: bool = False) -> str:
+    """The seed up to its last slash, which isn't one of the scheme's; a bare host stands for itself."""
+    bare = "/" not in seed.split("://", 1)[-1]
+    prefix = seed if bare else seed[: seed.rfind("/")]
+    return prefix + "/" if strict else prefix
+
+
 def reason(config: CrawlConfig, url="url", depth="depth") -> Column:
     """The first rule that turns a URL away, null where it is in scope."""
     u, d = F.col(url), F.col(depth)
@@ -52,7 +59,7 @@ def reason(config: CrawlConfig, url="url", depth="depth") -> Column:
     elif config.scope == "path":
         mode = F.lit(False)
         for s in config.seeds:
-            mode = mode | u.startswith(s[: s.rfind("/")] + ("/" if config.strict_path else ""))
+            mode = mode | u.startswith(path_prefix(s, config.strict_path))
     else:
         mode = F.lit(True)
     # an allowed domain is in scope whatever the mode says

@@ -11,9 +11,10 @@ from .functions import urls as U
 from .operators import crawl as C
 from .operators import dedup, frontier, metrics, politeness, resources, robots, routing, service
 from .operators.scope import reason
-from .plans.config import CrawlConfig, Output
-from .plans.storage import fresh
-from .sources import sinks
+from .operators.simulate import Rules, simulated
+from .plans.config import CrawlConfig, Output, Politeness
+from .plans.storage import fresh, spread
+from .sources import connectors, contract, sinks
 from .sources.corpus import CorpusSource
 from .streaming import limiter as S
 
@@ -28,6 +29,11 @@ def _table(spark, d, name) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _pages(spark, d) -> DataFrame:
+    """The page table for work on its HTML."""
+    return spread(_table(spark, d, "pages"))
+
+
 def _log(spark, d) -> DataFrame:
     """The event table as a fetch log; time is seconds since 1970, free of the session's zone."""
     e = _table(spark, d, "events")
@@ -40,8 +46,9 @@ def _code():
 
 
 def _links(spark, d) -> DataFrame:
-    p = _table(spark, d, "pages")
-    return p.select("page_id", U.normalize("url").alias("src"), F.explode(H.links("html", "url")).alias("url"))
+    # the page's own URL and host are made once a page, below the explode
+    p = _pages(spark, d).select("page_id", U.normalize("url").alias("src"), H.links("html", "url").alias("links"))
+    return p.select("page_id", "src", U.host_of("src").alias("src_host"), "links").select("page_id", "src", "src_host", F.explode("links").alias("url"))
 
 
 def _known(spark, d) -> DataFrame:
@@ -50,8 +57,9 @@ def _known(spark, d) -> DataFrame:
 
 def q_link_frontier(spark, d):
     """New in-scope links by host: extract, normalise, keep the page's host, drop what is known."""
-    mine = _links(spark, d).where(U.host_of("url") == U.host_of("src")).select("url").distinct()
-    return frontier.unseen(mine, _known(spark, d)).groupBy(U.host_of("url").alias("host")).agg(F.count("*").alias("n_new"))
+    found = _links(spark, d).withColumn("host", U.host_of("url"))
+    mine = found.where(F.col("host") == F.col("src_host")).select("url", "host").distinct()
+    return frontier.unseen(mine, _known(spark, d)).groupBy("host").agg(F.count("*").alias("n_new"))
 
 
 def q_url_normalize(spark, d):
@@ -85,17 +93,90 @@ def q_links(spark, d):
 
 
 def q_title(spark, d):
-    return _table(spark, d, "pages").select("page_id", H.title("html").alias("title"))
+    return _pages(spark, d).select("page_id", H.title("html").alias("title"))
 
 
 def q_text(spark, d):
-    return _table(spark, d, "pages").select("page_id", H.text("html").alias("text"))
+    return _pages(spark, d).select("page_id", H.text("html").alias("text"))
+
+
+def _dressed(spark, d) -> DataFrame:
+    """The page table as a web: page n links to pages 8n to 8n + 7 and to a relative address; some pages have a base element, a canonical link, or say nofollow."""
+    p = _table(spark, d, "pages").select("page_id", U.normalize("url").alias("url"), "html")
+    up = p.select(F.floor(F.col("page_id") / 8).alias("page_id"), F.col("page_id").alias("k"), "url")
+    kids = up.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("k", "url"))).alias("kids"))
+    anchors = F.array_join(F.transform("kids", lambda x: F.concat(F.lit('<a href="'), x["url"], F.lit('">x</a>'))), "")
+    n = F.col("page_id")
+    when = lambda test, x: F.when(test, x).otherwise("")
+    head = F.concat(
+        when(n % 3 == 1, F.lit('<base href="/b/">')),
+        when(n % 11 == 5, F.lit('<META name="Robots" content="NOINDEX, NoFollow">')),
+        when(n % 4 == 2, F.concat(F.lit('<link rel="canonical" href="HTTP://E.com:80/c/'), n.cast("string"), F.lit('?utm_source=1">'))),
+        F.concat(F.lit('<meta name="description" content="  about '), n.cast("string"), F.lit(' ">')),
+    )
+    foot = F.concat(F.coalesce(anchors, F.lit("")), F.lit('<a href="k'), n.cast("string"), F.lit('">k</a><a rel="nofollow" href="/never">n</a>'))
+    return p.join(kids, "page_id", "left").select("page_id", "url", F.concat(F.replace("html", F.lit("</head>"), F.concat(head, F.lit("</head>"))), foot).alias("html"))
+
+
+def _facts(f, title):
+    return ["page_id", title, F.col(f"{f}.description").alias("description"), F.col(f"{f}.noindex").alias("noindex"), F.col(f"{f}.nofollow").alias("nofollow"), F.col(f"{f}.canonical").alias("canonical"), F.size(f"{f}.links").cast("bigint").alias("n_links")]
 
 
 def q_page_facts(spark, d):
-    """The tolerant parser over all pages."""
-    f = _table(spark, d, "pages").select("page_id", H.page_facts("html", "url").alias("f"))
-    return f.select("page_id", "f.title", F.size("f.hrefs").cast("bigint").alias("n_hrefs"), "f.noindex", "f.nofollow")
+    """Everything that a page says of itself, by built-in expressions, over all pages as a web."""
+    f = spread(_dressed(spark, d)).select("page_id", H.title("html").alias("title"), H.page("html", "url").alias("f"))
+    return f.select(*_facts("f", "title"))
+
+
+def q_page_parser(spark, d):
+    """The same by the tolerant parser."""
+    f = spread(_dressed(spark, d)).select("page_id", H.page_facts("html", "url").alias("f"))
+    return f.select(*_facts("f", F.col("f.title").alias("title")))
+
+
+def q_crawl_pages(spark, d):
+    """The traversal over all pages as a web, from the first seven."""
+    config = CrawlConfig(scope="any", max_depth=5, max_pages=UNBOUNDED, max_frontier=UNBOUNDED, max_frontier_per_host=UNBOUNDED, output=Output(include_text=False))
+    web = _dressed(spark, d)
+    start = web.where("page_id between 1 and 7").select(F.col("url").alias("raw"))
+    source = CorpusSource(spread(web).select("url", "html", (F.col("page_id") / 1000).alias("elapsed")))
+    got = C.crawl(spark, config, source, start=start).pages
+    return sinks.page_row(got).drop("links", "text", "fetched_at")
+
+
+def q_crawl_robots(spark, d):
+    """Every page asked for where its robots.txt allows, with the delay that it asks for."""
+    config = CrawlConfig(scope="any", max_depth=0, max_pages=UNBOUNDED, max_frontier=UNBOUNDED, max_frontier_per_host=UNBOUNDED, output=Output(include_text=False))
+    p = _table(spark, d, "pages")
+    got = C.crawl(spark, config, CorpusSource(p.select(U.normalize("url").alias("url"), "html")), _robots(spark, d), p.select(F.col("url").alias("raw")))
+    return got.pages.select("url", "status", "crawl_delay")
+
+
+def q_seeds(spark, d):
+    """The page table's URLs as one text of seeds: split, trimmed, given a scheme, normalised, distinct."""
+    raw = _table(spark, d, "pages").select(F.concat(F.regexp_replace("url", "^https://", ""), F.lit(" ,\n"), F.col("url"), F.lit(", javascript:void(0)")).alias("text"))
+    parts = raw.select(F.explode(F.split("text", "[,\n]")).alias("raw")).select(F.trim("raw").alias("raw")).where("raw <> ''")
+    given = parts.select(F.when(F.col("raw").contains("://"), F.col("raw")).otherwise(F.concat(F.lit("https://"), F.col("raw"))).alias("raw"))
+    return given.select(U.normalize("raw").alias("url")).where("url <> ''").distinct()
+
+
+def q_same_site(spark, d):
+    return _links(spark, d).select("page_id", "url", U.same_site("src", "url").alias("same"))
+
+
+def _bare_scope(spark, d, **more):
+    config = CrawlConfig(seeds=("https://therhe.example.org", SEEDS[0]), scope="path", max_depth=1, **more)
+    found = _links(spark, d).select("url", F.lit(1).alias("depth")).distinct()
+    return found.select("url", F.coalesce(reason(config), F.lit("in")).alias("verdict"))
+
+
+def q_scope_bare_host(spark, d):
+    """The path scope with a seed that is a host alone, which stands for itself and not for its scheme."""
+    return _bare_scope(spark, d)
+
+
+def q_scope_allow(spark, d):
+    return _bare_scope(spark, d, allow_patterns=("/t", "/a[a-m]"), deny_domains=("example.net",))
 
 
 def q_inlinks(spark, d):
@@ -103,7 +184,7 @@ def q_inlinks(spark, d):
 
 
 def q_outlinks_by_host(spark, d):
-    return _links(spark, d).groupBy(U.host_of("src").alias("host")).agg(F.count("*").alias("n_links"), F.countDistinct("url").alias("n_targets"))
+    return _links(spark, d).groupBy(F.col("src_host").alias("host")).agg(F.count("*").alias("n_links"), F.countDistinct("url").alias("n_targets"))
 
 
 def _site(spark) -> DataFrame:
@@ -149,6 +230,13 @@ def q_seen_bloom(spark, d):
     return dedup.new_urls(_links(spark, d), _known(spark, d), "bloom", capacity=100_000)
 
 
+def q_bloom_inserts(spark, d):
+    """A filter that holds every link: how many it counts, and that it knows them all."""
+    links = _links(spark, d).select("url").distinct()
+    b = dedup.Bloom(1_000_000, 1e-9).add(links)
+    return b.flagged(links).agg(F.count_if("maybe_seen").alias("known")).select("known", F.lit(b.inserts()).cast("bigint").alias("inserts"))
+
+
 def _queue(spark, d):
     return _table(spark, d, "pages").select(U.normalize("url").alias("url"), U.host_of("url").alias("host"), F.col("page_id").alias("seq"), (F.col("page_id") % 7 == 0).alias("is_retry"))
 
@@ -174,6 +262,15 @@ def q_frontier_stats(spark, d):
     return frontier.stats(q, hosts, 5.0)
 
 
+def q_next_ready(spark, d):
+    q = _queue(spark, d)
+    return frontier.next_ready_time(q, q.select("host", F.length("host").cast("double").alias("ready_at")).distinct(), 22.0)
+
+
+def q_attempts(spark, d):
+    return frontier.attempts(_log(spark, d), ("host", "chars")).select("seq", F.col("attempt").cast("bigint").alias("attempt"))
+
+
 def q_status_counts(spark, d):
     return metrics.counted(_log(spark, d).withColumn("http_status", _code()), "http_status")
 
@@ -182,6 +279,37 @@ def q_summary(spark, d):
     return metrics.summary(_log(spark, d))
 
 
+def _flat(c):
+    return F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+
+
+def _results(spark, d):
+    return _log(spark, d).withColumn("http_status", _code()).withColumn("kind", F.when(~F.col("ok"), F.concat(F.lit("e"), F.col("seq") % 13)))
+
+
+def q_full_summary(spark, d):
+    s = metrics.full_summary(_results(spark, d), {"discovered": 9, "duplicates": 2})
+    return s.withColumn("status_counts", _flat("status_counts")).withColumn("errors", _flat("errors"))
+
+
+def q_snapshot(spark, d):
+    log, q = _results(spark, d), _queue(spark, d)
+    hosts = q.select("host", F.length("host").cast("double").alias("ready_at")).distinct()
+    s = metrics.snapshot(log.withColumn("elapsed", F.col("elapsed") * 3600), q, hosts, 1_704_200_000.0, {"enqueued": 7}, 1 << 40)
+    return s.select("fetched", "queued", "hosts", "ready", "deferred", "in_flight", "budget_left", "seen", "recent_pps", "paused_memory")
+
+
+def q_memory_pauses(spark, d):
+    """The log's values as readings of memory, some unknown: paused from 60 on, until they fall below 55."""
+    used = _log(spark, d).select(F.col("host").alias("probe"), "ts", (F.when(F.col("seq") % 10 > 0, F.col("elapsed") * 2)).alias("pct"))
+    return metrics.paused(used, 60.0).select("probe", "ts", "paused")
+
+
+def q_bench_rows(spark, d):
+    runs = _log(spark, d).groupBy(F.col("kind").alias("backend"), (F.col("seq") % 3).cast("int").alias("concurrency")).agg(F.count("*").alias("pages"), F.round(F.sum("elapsed"), 2).alias("elapsed"))
+    return metrics.bench_rows(runs)
+
+
 def q_error_topk(spark, d):
     return metrics.top_errors(_log(spark, d), "host")
 
@@ -202,13 +330,24 @@ def q_streaks(spark, d):
     return metrics.streaks(_log(spark, d))
 
 
+def q_streak_raises(spark, d):
+    """How often each host's rate would have been raised: once for every five clean answers in a row."""
+    return metrics.streaks(_log(spark, d), 5)
+
+
 def q_in_flight(spark, d):
     return metrics.in_flight(_log(spark, d).withColumn("elapsed", F.col("elapsed") * 64))
 
 
 def _outcomes(spark, d):
-    texts = F.array(*map(F.lit, ("Navigation timeout of 30 s", "net::ERR_NAME", "Connection refused", "something else")))
-    return _log(spark, d).select("seq", "host", "ts", "ok", _code().alias("code"), F.when(F.col("ok"), None).otherwise(F.element_at(texts, (F.col("seq") % 4 + 1).cast("int"))).alias("message"))
+    texts = F.array(*map(F.lit, ("Navigation timeout of 30 s", "net::ERR_NAME", "Connection refused", "something else", "useragent", "took longer than", "socket hang up", "it was closed", "net::x", "ECONNREFUSED")))
+    return _log(spark, d).select("seq", "host", "ts", "ok", _code().alias("code"), F.when(F.col("ok"), None).otherwise(F.element_at(texts, (F.col("seq") % 10 + 1).cast("int"))).alias("message"))
+
+
+def q_classify_sources(spark, d):
+    """What a message means depends on the kind of source."""
+    o = _outcomes(spark, d).where("message is not null")
+    return o.select("message", *[http.classify_error(F.col("message"), k).alias(k) for k in http.MARKERS]).distinct()
 
 
 def q_outcome_map(spark, d):
@@ -229,7 +368,16 @@ def q_retry_plan(spark, d):
 
 def q_retry_after(spark, d):
     raw = F.element_at(F.array(*map(F.lit, ("5", " 2.5 ", "-3", "Wed, 21 Oct 2026 07:28:00 GMT", ""))), (F.col("seq") % 5 + 1).cast("int"))
-    return _log(spark, d).select("seq", http.retry_after(raw).alias("seconds"))
+    name = F.element_at(F.array(*map(F.lit, ("retry-after", "Retry-After", "RETRY-AFTER"))), (F.col("seq") % 3 + 1).cast("int"))
+    h = F.create_map(name, raw)
+    return _log(spark, d).select("seq", http.retry_after(h).alias("seconds"), http.retry_after(h, ("retry-after",)).alias("service_seconds"))
+
+
+def q_headers(spark, d):
+    """Header names in lower case, where of two spellings the first counts; links by group as one list; the text a source prefers."""
+    x = F.col("kind")
+    h = F.create_map(F.lit("X-A"), x, F.lit("x-a"), F.lit("later"), F.upper(x), F.lit("v"))
+    return _log(spark, d).select("seq", _flat(http.lower_keys(h)).alias("headers"), F.array_join(http.all_links(F.create_map(F.lit("internal"), F.array(x), F.lit("external"), F.array(F.lit("z"), x))), ",").alias("links"), http.markdown(F.when(F.col("ok"), ""), F.when(F.col("seq") % 2 == 0, x), F.lit("plain")).alias("text"), http.decoded(F.encode(x, "UTF-8")).alias("decoded"))
 
 
 def _requests(spark, d):
@@ -251,17 +399,60 @@ def q_cache_rate(spark, d):
     return resources.cache_rate(_requests(spark, d))
 
 
+def _block():
+    return resources.block_reason(F.col("url"), F.col("resource_type"), F.col("headers"), hosts=("ads.test",), types=("image", "font"))
+
+
+def q_blocked(spark, d):
+    return resources.blocked(_requests(spark, d), _block())
+
+
+def _trace(spark, d):
+    """Requests, responses and cache events of pages, from the log: a size may be missing or junk, an event may come twice."""
+    r = _requests(spark, d).withColumn("request_id", F.col("seq")).withColumn("page_id", F.col("host"))
+    log = _log(spark, d)
+    size = F.when(F.length("host") == 2, "junk").when(F.col("kind") != "view", F.col("chars").cast("string"))
+    responses = log.where("kind <> 'signup'").select(F.col("seq").alias("request_id"), size.alias("content_length"), (F.col("elapsed") > 20).alias("disk_cache"), (F.col("elapsed") < 1).alias("prefetch_cache"))
+    served = log.where("kind = 'click'").select(F.col("seq").alias("request_id"))
+    return resources.traced(r.select("request_id", "page_id", "resource_type", "url", "headers"), responses, served.unionByName(served))
+
+
+def q_trace(spark, d):
+    return _trace(spark, d).select("request_id", "size", "from_cache")
+
+
+def q_trace_totals(spark, d):
+    return resources.totals(_trace(spark, d))
+
+
+def q_trace_report(spark, d):
+    return resources.report(_trace(spark, d), _block())
+
+
 def q_content_check(spark, d):
-    p = _table(spark, d, "pages").select("page_id", H.text("html").alias("text"), "html")
+    p = _pages(spark, d).select("page_id", H.text("html").alias("text"), "html")
     code = F.when(F.col("page_id") % 11 == 0, 403).when(F.col("page_id") % 13 == 0, 404).otherwise(200)
     why = routing.content_check(F.col("text"), F.col("html"), http.http_status(code), code, min_text=600, min_ratio=0.2)
     return p.select("page_id", why.alias("reason"), routing.sufficient(why).alias("sufficient"))
 
 
-def _routed(spark, d):
-    p = _table(spark, d, "pages").select(U.normalize("url").alias("url"), H.text("html").alias("text"), "html", F.lit("ok").alias("status"), F.lit(200).alias("http_status"), "page_id")
-    more = p.where("page_id % 5 <> 0").select("url", F.when(F.col("page_id") % 3 == 0, F.substring("text", 1, 10)).otherwise(F.concat("text", F.lit(" more"))).alias("text"))
-    return routing.route(p.drop("page_id"), more)
+def _routed(spark, d, memory=None):
+    """The rendered tier fails on hosts of odd length, and gives a title alone where the page's HTML has odd length."""
+    p = _pages(spark, d).select("url", H.text("html").alias("text"), H.title("html").alias("title"), "html", F.lit("ok").alias("status"), F.lit(200).alias("http_status"))
+    more = p.where(F.length(U.host_of("url")) % 2 == 0).select("url", F.when(F.length("html") % 2 == 1, F.col("title")).otherwise(F.concat("text", F.lit(" more"))).alias("text"))
+    return routing.route(p.drop("title"), more, memory=memory)
+
+
+def q_routing_memory(spark, d):
+    """Hosts whose name begins with m are known to need rendering."""
+    known = _table(spark, d, "pages").select("url").where(U.host_of("url").startswith("m."))
+    return routing.stats(_routed(spark, d, known))
+
+
+def q_routing_snapshot(spark, d):
+    hosts = _log(spark, d).groupBy("host").agg(F.max(F.when(~F.col("ok"), F.col("ts"))).alias("until"))
+    s = routing.snapshot(_routed(spark, d), hosts, 1_706_000_000.0)
+    return s.select("requested", "served_plain", "escalated", "host_cache_hits", _flat("escalation_reasons").alias("reasons"), "hosts_needing_render", "browser_started")
 
 
 def q_routing(spark, d):
@@ -281,12 +472,20 @@ def q_host_memory(spark, d):
 
 
 def _signals(spark, d):
-    sig = F.when(F.col("seq") % 2 == 0, "acquire").otherwise(F.coalesce(http.signal(F.when(F.col("ok"), "ok").otherwise("timeout"), _code()), F.lit("error")))
-    return _log(spark, d).select("host", "seq", "ts", sig.alias("signal"), F.lit(None).cast("double").alias("arg"))
+    """The log as a limiter's events: asking, results (some with a Retry-After), and crawl delays."""
+    n = F.col("seq")
+    result = F.coalesce(http.signal(F.when(F.col("ok"), "ok").otherwise("timeout"), _code()), F.lit("error"))
+    sig = F.when(n % 2 == 0, "acquire").when(n % 13 == 5, "crawl_delay").otherwise(result)
+    arg = F.when(sig == "crawl_delay", 1.0 + n % 4).when((sig == "throttled") & (n % 3 == 0), 0.5 + n % 7)
+    return _log(spark, d).select("host", "seq", "ts", sig.alias("signal"), arg.cast("double").alias("arg"))
+
+
+def _rounded(df):
+    return df.select("host", "seq", "signal", "granted", *[F.round(c, 6).alias(c) for c in ("rate", "tokens", "blocked_until", "ready_at")])
 
 
 def q_limiter(spark, d):
-    return politeness.replay(_signals(spark, d)).select("host", "seq", "signal", "granted", F.round("rate", 6).alias("rate"), F.round("tokens", 6).alias("tokens"), F.round("blocked_until", 6).alias("blocked_until"))
+    return _rounded(politeness.replay(_signals(spark, d)))
 
 
 def q_limiter_stream(spark, d):
@@ -295,7 +494,7 @@ def q_limiter_stream(spark, d):
     path = fresh(spark, "signals")
     e.write.parquet(path)
     out = S.drained(S.limiter(spark.readStream.schema(e.schema).parquet(path)), "limiter")
-    return out.select("host", "seq", "signal", "granted", F.round("rate", 6).alias("rate"), F.round("tokens", 6).alias("tokens"), F.round("blocked_until", 6).alias("blocked_until"))
+    return _rounded(out)
 
 
 def q_limiter_snapshot(spark, d):
@@ -321,19 +520,119 @@ def q_robots_filter(spark, d):
     return robots.judged(urls, _robots(spark, d)).select("page_id", "allowed", "crawl_delay")
 
 
+def q_robots_cache(spark, d):
+    """The log as requests of origins, whose rules are kept for a week; those of some can't be had."""
+    log = _log(spark, d).withColumnRenamed("host", "origin")
+    failed = log.select("origin").where("origin like '%7'")
+    return robots.cache_stats(robots.lookups(log, 604_800.0), failed)
+
+
+def q_robots_fresh(spark, d):
+    r = _log(spark, d).groupBy(F.col("host").alias("origin")).agg(F.max("ts").alias("fetched_at"))
+    return robots.fresh(r, 1_706_660_000.0, 36_000.0).select("origin")
+
+
 def q_service(spark, d):
     """Every page's URL asked for, with two unusable ones between; answers keep the order of the questions."""
     p = _table(spark, d, "pages")
     r = p.select(F.col("page_id").alias("ordinal"), F.when(F.col("page_id") % 17 == 3, "mailto:x").otherwise(F.col("url")).alias("url"), (F.col("page_id") % 10).cast("double").alias("elapsed"))
     src = CorpusSource(p.select(U.normalize("url").alias("url"), "html", F.when(F.col("page_id") % 19 == 0, 500).otherwise(200).alias("http_status")))
-    return service.respond(r, src, timeout_s=8.5).select("ordinal", "final_url", "status", "http_status", "error", "title")
+    return service.ordered(service.respond(r, src, timeout_s=8.5)).select("ordinal", "final_url", "status", "http_status", "error", "title")
+
+
+def q_response(spark, d):
+    """The response's fields with links but without text, robots.txt heeded."""
+    p = _table(spark, d, "pages")
+    src = CorpusSource(p.select(U.normalize("url").alias("url"), "html", (F.col("page_id") / 7).alias("elapsed")))
+    got = service.respond(p.select(F.col("page_id").alias("ordinal"), "url"), src, None, CrawlConfig(), _robots(spark, d))
+    return service.projected(got, include_links=True).select("ordinal", "status", "error", "elapsed_s", "text", F.size("links").cast("bigint").alias("n_links"))
+
+
+def _paced(spark, d):
+    log = _log(spark, d)
+    return log.select("host", F.col("seq").alias("ordinal"), F.col("ts").alias("arrive_ts"), (F.col("elapsed") * 100).alias("elapsed"))
+
+
+def q_paced(spark, d):
+    """Hosts that serve one request at a time, and start one in 1,000 s at most, in virtual time."""
+    got = simulated(_paced(spark, d), Rules(per_host=1, adaptive=False, limits=politeness.Limits(base=0.001, burst=1.0, low=0.0001, high=0.001)), "host")
+    return got.select("ordinal", F.round("started_ts", 3).alias("started_ts"), F.round("finished_ts", 3).alias("finished_ts"))
+
+
+def q_admission(spark, d):
+    """Services of one slot, by the kind of event, where a request waits 2,000 s at most."""
+    r = _paced(spark, d).join(_log(spark, d).select(F.col("seq").alias("ordinal"), F.col("kind").alias("service")), "ordinal")
+    got = simulated(r, Rules(capacity=1, queue_timeout_s=2000.0, per_host=1, adaptive=False, limits=politeness.Limits(1e6, 1e6, 1.0, 1e6)), "service")
+    return got.select("ordinal", "status", F.round("started_ts", 3).alias("started_ts"))
+
+
+def _busy(spark, d):
+    """The log as requests at two services of 4 slots, with failures that pass and others that don't."""
+    o = _outcomes(spark, d).withColumn("status", F.when(F.col("ok"), "ok").when(F.col("message").isNotNull(), http.classify_error(F.col("message"))))
+    o = o.join(_log(spark, d).select("seq", "elapsed", "kind"), "seq")
+    return o.select(F.when(F.col("kind") < "m", "a").otherwise("b").alias("service"), F.col("seq").alias("ordinal"), "host", (F.col("ts") / 100).alias("arrive_ts"), "elapsed", "status", F.col("code").alias("http_status"), (F.col("seq") % 4).cast("int").alias("fail_attempts"))
+
+
+def _served(spark, d):
+    return service.admitted(_busy(spark, d), CrawlConfig(concurrency=4, politeness=Politeness(per_host_rps=0.05, min_rps=0.01)), 60.0, 40.0)
+
+
+def q_service_load(spark, d):
+    """Admission, hosts' limits, timeouts and retries together; no SQL: events of one request change the times of others."""
+    return _served(spark, d).select("key", "ordinal", "status", "attempts", F.round("started_ts", 3).alias("started_ts"), F.round("finished_ts", 3).alias("finished_ts"))
+
+
+def q_service_stats(spark, d):
+    """The counters of that load; no SQL for the same reason."""
+    return service.snapshot(_served(spark, d), CrawlConfig(concurrency=4), "corpus")
+
+
+def q_crawl_schedule(spark, d):
+    """When a polite crawl would have fetched each page of the log, by host; no SQL for the same reason."""
+    got = service.schedule(_busy(spark, d).drop("service"), CrawlConfig(politeness=Politeness(per_host_concurrency=2)))
+    return got.select("ordinal", "status", "attempts", F.round("started_ts", 3).alias("started_ts"), F.round("finished_ts", 3).alias("finished_ts"))
+
+
+def _raw(spark, d):
+    """Pages asked for in batches of 16, and what a connector returned: some under another spelling, some under a redirect, some not at all."""
+    p = _table(spark, d, "pages").select(F.col("page_id").alias("rid"), F.floor(F.col("page_id") / 16).alias("batch"), "url", F.length("url").alias("n"), "html")
+    kind = F.col("n") % 5
+    raw = p.where(kind != 4).select("batch", F.col("rid").alias("pos"), F.when(kind == 1, F.lit("about:blank")).when(kind == 2, F.concat("url", F.lit("/"))).otherwise(F.col("url")).alias("url"), F.when(kind == 1, F.col("url")).alias("redirected_url"), (kind != 3).alias("success"), F.when(kind == 3, F.when(F.col("rid") % 2 == 0, 500).otherwise(200)).otherwise(200).alias("status_code"), F.when(kind == 3, "blocked by a guess").alias("error_message"), F.lit("<p>x</p>").alias("html"), F.array(F.lit("l")).alias("links"))
+    return p.select("rid", "batch", "url"), raw
+
+
+def q_connector_batches(spark, d):
+    got = connectors.from_batches(*_raw(spark, d))
+    return got.groupBy("status", F.coalesce("error", F.lit("")).alias("error"), F.col("links").isNotNull().alias("with_links")).agg(F.count("*").alias("n"))
+
+
+def q_connector_keys(spark, d):
+    """Every request of the log by its key; results may come twice, or not."""
+    log = _log(spark, d)
+    raw = log.where("kind <> 'signup'").select(F.col("seq").alias("key"), F.col("ts").alias("finished_ts"), _code().alias("http_status"), F.lit("x").alias("html"), F.when(F.col("kind") == "click", "Timed out").alias("error_message"))
+    late = raw.withColumn("finished_ts", F.col("finished_ts") + 5).withColumn("http_status", F.lit(200))
+    got = connectors.from_keyed(log.select(F.col("seq").alias("key"), F.lit("u").alias("url")), raw.unionByName(late))
+    return got.select("key", "status", "error")
+
+
+def q_connector_plain(spark, d):
+    o = _outcomes(spark, d).select("seq", F.when(F.col("message").isNull() | (F.col("seq") % 2 == 0), F.col("code")).alias("http_status"), F.lit("").alias("html"), F.when(F.col("seq") % 2 == 1, F.col("message")).alias("error_message"))
+    return connectors.from_plain(o).select("seq", "status", "error")
+
+
+def q_capabilities(spark, d):
+    """The sources that come with the package."""
+    return contract.list_sources(spark).where("origin = 'builtin'").select("name", "available", "capabilities")
 
 
 def q_completed(spark, d):
+    """Every row of the log is asked for; views have no answer, signups have two, and strays come for what nobody asked."""
     log = _log(spark, d)
-    asked = log.where("seq % 3 <> 1").select(F.col("seq").alias("rid"))
-    came = log.where("seq % 5 <> 2").select(F.col("seq").alias("rid"), "ts", F.when(F.col("ok"), "ok").otherwise("timeout").alias("status"))
-    return service.completed(asked, came.unionByName(came.where("rid % 2 = 0")))
+    asked = log.select(F.col("seq").alias("rid"))
+    came = log.where("kind <> 'view'").select(F.col("seq").alias("rid"), "ts", F.when(F.col("ok"), "ok").otherwise("timeout").alias("status"))
+    again = log.where("kind = 'signup'").select(F.col("seq").alias("rid"), F.col("ts") + 1, F.lit("http_error")).toDF("rid", "ts", "status")
+    strays = log.select(-F.col("seq") - 1, "ts", F.lit("ok")).toDF("rid", "ts", "status")
+    return service.completed(asked, came.unionByName(again).unionByName(strays))
 
 
 def q_sink_roundtrip(spark, d):

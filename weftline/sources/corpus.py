@@ -1,63 +1,73 @@
-"""Page sources: a corpus table in the fetcher's place, with faults, and a registry of sources."""
+"""A corpus table in the fetcher's place, with faults; seeds."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import http, urls
+from .contract import Capabilities, FetchSource, get_source, list_sources, register
 
-_REGISTRY: dict[str, Callable[..., object]] = {}
-
-
-def register(name: str):
-    """A later registration of a name takes the earlier one's place."""
-
-    def put(make):
-        _REGISTRY[name] = make
-        return make
-
-    return put
+__all__ = ["CorpusSource", "get_source", "list_sources", "register", "seeds"]
 
 
-def get_source(name: str):
-    if name not in _REGISTRY:
-        raise KeyError(f"unknown source {name}; known: {', '.join(sorted(_REGISTRY))}")
-    return _REGISTRY[name]
+@register("corpus", "builtin")
+class CorpusSource(FetchSource):
+    """Pages of a table (url, html; optional: final_url, http_status, status, error, fail_attempts, elapsed, fetched_at, retry_after).
 
+    A URL that the table lacks is a 404.  A URL that it has several times stands for one
+    page, that with the least HTML; whether there are any is looked up once
+    (a scan of the URLs alone) unless ``unique`` says.
+    """
 
-def list_sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, (f.__doc__ or "").strip()) for n, f in sorted(_REGISTRY.items())], "name string, about string")
+    name = "corpus"
+    capabilities = Capabilities()
 
-
-@register("corpus")
-class CorpusSource:
-    """Answers requests from a table (url, html, http_status, status, fail_attempts); absent columns have defaults."""
-
-    def __init__(self, corpus: DataFrame, max_retries: int = 2, backoff_s: float = 1.5):
+    def __init__(self, corpus: DataFrame, max_retries: int = 2, backoff_s: float = 1.5, unique: bool = False, name: str = "corpus"):
         have = set(corpus.columns)
-        col = lambda c, default: F.col(c) if c in have else F.lit(default)
-        code = col("http_status", 200).cast("int")
-        self.pages = corpus.select(F.col("url"), F.col("html"), code.alias("http_status"), F.coalesce(col("status", None).cast("string"), http.http_status(code)).alias("status"), F.coalesce(col("fail_attempts", 0).cast("int"), F.lit(0)).alias("fail_attempts"), F.lit(True).alias("there"))
-        self.max_retries, self.backoff_s = max_retries, backoff_s
+        col = lambda c, default, kind: F.col(c).cast(kind) if c in have else F.lit(default).cast(kind)
+        if not unique and not corpus.groupBy("url").count().where("count > 1").isEmpty():
+            fields = F.struct("html", *[c for c in corpus.columns if c not in ("url", "html")])
+            corpus = corpus.groupBy("url").agg(F.min(fields).alias("p")).select("url", "p.*")
+        code = col("http_status", 200, "int")
+        status = F.coalesce(col("status", None, "string"), http.http_status(code))
+        self.pages = corpus.select(
+            F.col("url"),
+            F.col("html").alias("c_html"),
+            code.alias("c_code"),
+            status.alias("c_status"),
+            F.coalesce(col("error", None, "string"), http.http_error(code)).alias("c_error"),
+            F.coalesce(col("final_url", None, "string"), F.col("url")).alias("c_final"),
+            F.coalesce(col("fail_attempts", 0, "int"), F.lit(0)).alias("c_fails"),
+            F.coalesce(col("elapsed", 0.0, "double"), F.lit(0.0)).alias("c_elapsed"),
+            col("fetched_at", None, "double").alias("c_at"),
+            col("retry_after", None, "double").alias("c_after"),
+            F.lit(True).alias("there"),
+        )
+        self.max_retries, self.backoff_s, self.name = max_retries, backoff_s, name
 
     def fetch(self, requests: DataFrame) -> DataFrame:
-        """``requests`` with html, http_status, status, attempt and waited_s. Transient failures are tried again."""
+        """``requests`` with the columns of a result, and waited_s, the backoffs. Transient failures are tried again."""
         r = requests.join(self.pages, "url", "left")
-        failed = F.col("fail_attempts") > self.max_retries
-        status = F.when(F.col("there").isNull(), "http_error").when(failed, "timeout").otherwise(F.col("status"))
-        attempt = F.when(F.col("there").isNull(), 0).otherwise(F.least("fail_attempts", F.lit(self.max_retries)))
-        return r.select(
-            *requests.columns,
-            F.when(F.col("there").isNotNull() & ~failed, F.col("html")).otherwise("").alias("html"),
-            F.when(F.col("there").isNull(), 404).when(~failed, F.col("http_status")).alias("http_status"),
-            status.alias("status"),
-            attempt.alias("attempt"),
+        there = F.col("there").isNotNull()
+        failed = F.col("c_fails") > self.max_retries
+        answered = there & ~failed
+        attempt = F.when(there, F.least("c_fails", F.lit(self.max_retries))).otherwise(0)
+        out = {
+            "final_url": F.when(answered, F.col("c_final")).otherwise(F.col("url")),
+            "html": F.when(answered, F.col("c_html")).otherwise(""),
+            "http_status": F.when(~there, 404).when(answered, F.col("c_code")),
+            "status": F.when(~there, "http_error").when(failed, "timeout").otherwise(F.col("c_status")),
+            "error": F.when(~there, "HTTP 404").when(failed, "no answer").otherwise(F.col("c_error")),
+            "elapsed": F.coalesce("c_elapsed", F.lit(0.0)),
+            "attempt": attempt,
+            "backend": F.lit(self.name),
+            "fetched_at": F.coalesce(F.col("c_at"), F.unix_micros(F.current_timestamp()) / 1e6),
+            "retry_after": F.when(answered, F.col("c_after")),
             # the waits form a geometric series
-            (F.lit(self.backoff_s) * (F.pow(F.lit(2.0), attempt) - 1)).alias("waited_s"),
-        )
+            "waited_s": F.lit(self.backoff_s) * (F.pow(F.lit(2.0), attempt) - 1),
+        }
+        return r.select(*requests.columns, *[c.alias(k) for k, c in out.items() if k not in requests.columns])
 
 
 def seeds(spark: SparkSession, raw: tuple[str, ...], more: DataFrame | None = None) -> DataFrame:
