@@ -260,13 +260,12 @@ def brute_lm(texts, order, least, discount=0.75, score=True):
     return out, p
 
 
-@pytest.mark.parametrize(("order", "share"), [(3, 0.0), (3, 0.01), (2, 0.03), (4, 0.002)])
-def test_lm_against_recursion(spark, order, share):
+@pytest.mark.parametrize(("order", "least"), [(3, 1), (3, 3), (2, 6), (4, 2)])
+def test_lm_against_recursion(spark, order, least):
     texts = ["hello hello world", "héllo there", "", "a" * 60 + "b", "hello wxyz hello", "the other text that has more to say about the other", "zebra"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    total = sum(len(t.encode()) for t in texts)
-    want, p = brute_lm(texts, order, max(1, math.ceil(share * total)))
-    model = lm_scoring.train(docs, order, share or 1e-9)
+    want, p = brute_lm(texts, order, least)
+    model = lm_scoring.train(docs, order, least)
     got = {r["doc_id"]: r["log_prob"] for r in lm_scoring.scored(docs, model).collect()}
     assert np.allclose([got[k] for k in range(len(texts))], want)
     assert abs(sum(p((ord("e") + 1,), w) for w in range(1, 257)) - 1) < 1e-9

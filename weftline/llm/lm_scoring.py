@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import fresh_path, picked, written
+from .shared import Scratch, fresh_path, picked
 from .urlfilter import local_path
 
 ORDER = 5
@@ -205,7 +205,7 @@ def _filled(key: np.ndarray, room: int, shards: int) -> np.ndarray:
     return slot
 
 
-def _entries(counts: DataFrame, order: int, least: int, discount: float) -> DataFrame:
+def _entries(counts: DataFrame, order: int, least: int, discount: float, written) -> DataFrame:
     """(key, size, p): the arcs with the length of the next state, and the backoff weights, level by level."""
     spark = counts.sparkSession
     width = _BITS * (order - 1)
@@ -245,53 +245,54 @@ def _entries(counts: DataFrame, order: int, least: int, discount: float) -> Data
     return out
 
 
-def train(docs: DataFrame, order: int = ORDER, min_share: float = 0.0, discount: float = DISCOUNT, shard_arcs: int = SHARD_ARCS) -> Model:
-    """Count the corpus' n-grams, and let tasks write the automaton. ``min_share``: prune those of a lesser share; by default none is."""
+def train(docs: DataFrame, order: int = ORDER, least: int = 1, discount: float = DISCOUNT, shard_arcs: int = SHARD_ARCS) -> Model:
+    """Count the corpus' n-grams, and let tasks write the automaton. ``least``: the count an n-gram needs to be kept, the same at every size; by default every one is."""
     if not 2 <= order <= 6:
         raise ValueError("a state and a byte of order 2 to 6 fit a key")
     spark = docs.sparkSession
-    counts = written(ngram_counts(docs, order), "ngrams")
-    least = max(1, int(np.ceil(min_share * (counts.agg(F.sum("n")).first()[0] or 0)))) if min_share else 1
-    entries = written(_entries(counts, order, least, discount), "automaton")
-    size = entries.count()
-    shards = 1 << max(0, int(np.ceil(np.log2(size / shard_arcs))))
-    width = _BITS * (order - 1)
-    begin = [k << width << _BITS for k in range(1, order)]
-    start = max((r[0] >> _BITS for r in entries.where(F.col("key").isin(begin)).select("key").collect()), default=0)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            top = _hash(b.column(0).to_numpy()) >> np.uint64(32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((top * np.uint64(shards) >> np.uint64(32)).astype(np.int32))], names=["key", "size", "p", "shard"])
-
-    spread_out = written(entries.mapInArrow(spread, "key bigint, size int, p double, shard int"), "shards")
-    room = 1 << int(np.ceil(np.log2(2 * spread_out.groupBy("shard").count().agg(F.max("count")).first()[0])))
-    folder = local_path(fresh_path(spark, "model"))
-    os.makedirs(folder)
-    for name, kind in _FILES.items():
-        with open(f"{folder}/{name}", "wb") as f:
-            f.truncate(shards * room * np.dtype(kind).itemsize)
-
-    def write(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0].as_py()
-        key, following, p = (t.column(c).to_numpy() for c in ("key", "size", "p"))
-        by = np.argsort(key)
-        slot = _filled(key[by], room, shards)
-        content = {"keys": (key, _EMPTY), "size": (following, 0), "logp": (np.log(p), 0)}
+    with Scratch(spark) as scratch:
+        written = scratch.written
+        counts = written(ngram_counts(docs, order), "ngrams")
+        entries = written(_entries(counts, order, least, discount, written), "automaton")
+        size = entries.count()
+        shards = 1 << max(0, int(np.ceil(np.log2(size / shard_arcs))))
+        width = _BITS * (order - 1)
+        begin = [k << width << _BITS for k in range(1, order)]
+        start = max((r[0] >> _BITS for r in entries.where(F.col("key").isin(begin)).select("key").collect()), default=0)
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                top = _hash(b.column(0).to_numpy()) >> np.uint64(32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((top * np.uint64(shards) >> np.uint64(32)).astype(np.int32))], names=["key", "size", "p", "shard"])
+
+        spread_out = written(entries.mapInArrow(spread, "key bigint, size int, p double, shard int"), "shards")
+        room = 1 << int(np.ceil(np.log2(2 * spread_out.groupBy("shard").count().agg(F.max("count")).first()[0])))
+        folder = local_path(fresh_path(spark, "model"))
+        os.makedirs(folder)
         for name, kind in _FILES.items():
-            values, none = content[name]
-            part = np.full(room, none, kind)
-            part[slot] = values[by]
-            # a range of its own and the same bytes on every attempt
-            with open(f"{folder}/{name}", "r+b") as f:
-                f.seek(shard * part.nbytes)
-                f.write(part.tobytes())
-                f.flush()
-                os.fsync(f.fileno())
-        return pa.table({"shard": pa.array([shard], pa.int32())})
-
-    spread_out.groupBy("shard").applyInArrow(write, "shard int").collect()
-    return Model(folder, order, shards, room, start, size)
+            with open(f"{folder}/{name}", "wb") as f:
+                f.truncate(shards * room * np.dtype(kind).itemsize)
+
+        def write(t: pa.Table) -> pa.Table:
+            shard = t.column("shard")[0].as_py()
+            key, following, p = (t.column(c).to_numpy() for c in ("key", "size", "p"))
+            by = np.argsort(key)
+            slot = _filled(key[by], room, shards)
+            content = {"keys": (key, _EMPTY), "size": (following, 0), "logp": (np.log(p), 0)}
+            for name, kind in _FILES.items():
+                values, none = content[name]
+                part = np.full(room, none, kind)
+                part[slot] = values[by]
+                # a range of its own and the same bytes on every attempt
+                with open(f"{folder}/{name}", "r+b") as f:
+                    f.seek(shard * part.nbytes)
+                    f.write(part.tobytes())
+                    f.flush()
+                    os.fsync(f.fileno())
+            return pa.table({"shard": pa.array([shard], pa.int32())})
+
+        spread_out.groupBy("shard").applyInArrow(write, "shard int").collect()
+        return Model(folder, order, shards, room, start, size)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -311,6 +312,6 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return picked(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, log_prob double, bits_per_byte double")
 
 
-def score(docs: DataFrame, order: int = ORDER, min_share: float = 0.0) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, least: int = 1) -> DataFrame:
     """Train on all of ``docs`` and score them."""
-    return scored(docs, train(docs, order, min_share))
+    return scored(docs, train(docs, order, least))

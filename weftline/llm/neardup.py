@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .shared import flattened, picked, written
+from .shared import Scratch, flattened, picked, written
 
 BITS, WORDS64 = 256, 4
 RADIUS = 64
@@ -308,8 +308,9 @@ def near_pairs(nodes: DataFrame, count: int, radius: int = RADIUS, leaf: int = L
     return nodes.select("fp").mapInArrow(lists, "list bigint, part bigint, fp binary").groupBy("list", "part").applyInArrow(solve, "a binary, b binary").distinct()
 
 
-def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(pairs: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """(node, label): the least node of each node's component, by alternating large and small stars."""
+    written = (scratch or Scratch(pairs.sparkSession)).written
     edges = written(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
@@ -329,10 +330,11 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def grouped(docs: DataFrame, keys: list[str], text: str = "text", radius: int = RADIUS, min_shingles: int = MIN_SHINGLES, leaf: int = LEAF, recall: float = RECALL, list_rows: int = LIST_ROWS) -> DataFrame:
     """``keys`` of each document that has a fingerprint, with ``label``, the same for all of a group; a table of the shared folder."""
-    prints = written(fingerprinted(docs, keys, text).where("fp is not null"), "fingerprints")
-    nodes = written(prints.where(F.col("n_shingles") >= min_shingles).select("fp").distinct(), "nodes")
-    near = components(near_pairs(nodes, nodes.count(), radius, leaf, recall, list_rows))
-    return written(prints.join(near, prints.fp == near.node, "left").select(*keys, F.coalesce("label", "fp").alias("label")), "labels")
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.written(fingerprinted(docs, keys, text).where("fp is not null"), "fingerprints")
+        nodes = scratch.written(prints.where(F.col("n_shingles") >= min_shingles).select("fp").distinct(), "nodes")
+        near = components(near_pairs(nodes, nodes.count(), radius, leaf, recall, list_rows), scratch=scratch)
+        return written(prints.join(near, prints.fp == near.node, "left").select(*keys, F.coalesce("label", "fp").alias("label")), "labels")
 
 
 def groups(docs: DataFrame, **options) -> DataFrame:

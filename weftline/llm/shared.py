@@ -1,7 +1,8 @@
 """Where intermediate tables go: the shared folder the cluster names.
 
-``spark.checkpoint.dir`` is read from the session.  Only where it is unset
-(tests, a laptop) a temporary folder is created and set as checkpoint folder.
+``spark.checkpoint.dir`` is read from the session.  Only where it is unset and the
+session is local (tests) a temporary folder is created and set as checkpoint folder; on a
+cluster that is an error.
 Intermediate tables are written there as Parquet and read back, which cuts
 lineage and survives the loss of any executor.
 """
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all workers share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -41,6 +44,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are removed when the block ends; what is needed longer is ``written``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for p in self.paths:
+            remove(self.spark, p)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def flattened(df: DataFrame) -> DataFrame:
     """``df`` with columns named by place, c0, c1 and so on: no name can clash, whatever the case and signs of the old ones."""
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
