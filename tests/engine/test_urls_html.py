@@ -103,7 +103,7 @@ def test_ratio_of_a_page_that_is_all_text(spark):
 
 
 def test_outcomes(spark):
-    rows = [(True, None, "", ""), (False, 503, "", ""), (False, 200, "x", "boom"), (False, None, "", "Timed out"), (False, None, "", "net::X"), (False, None, "", "?")]
+    rows = [(True, None, "", ""), (False, 503, "", ""), (False, 200, "x", "boom"), (False, None, "", "Timed out"), (False, None, "", "net::ERR_X"), (False, None, "", "?")]
     got = values(spark, rows, "s boolean, c int, h string, m string", http.outcome(F.col("s"), F.col("c"), F.col("h"), F.col("m")))
     assert [g[0] for g in got] == ["ok", "http_error", "ok", "timeout", "network_error", "backend_error"]
 
