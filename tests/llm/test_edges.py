@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftline.llm import chat, decontaminate, licenses, lm_scoring, neardup, packing, pii, quality, token_counts, urlfilter
+from weftline.llm.shared import picked
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 CLASH = "label fp n_shingles list h n_tokens group_id digest shard u d s c0 c1 __row n node a v code op turns out conflict url blocked item_id words squeezed t __text_hash doc TEXT Doc_Id H Turn Role `odd a.b".split()
@@ -80,6 +81,7 @@ def test_decontaminate(docs, empty, bench):
 def test_pii(docs, empty):
     out = pii.replaced(docs, b"k")
     assert out.dtypes == docs.dtypes
+    out = picked(out, "doc_id", "text", "n_chars")
     a = out.where("doc_id = 7").collect()
     assert a[0] == a[1] and "jo.doe" not in a[0]["text"] and a[0]["n_chars"] == len(a[0]["text"])
     assert out.where("doc_id = 2").first()["text"] is None and out.where("doc_id = 3").first()["text"] == ""
