@@ -666,6 +666,43 @@ def test_a_dense_list_is_not_compared_pair_by_pair():
     assert time.time() - began < 60
 
 
+def test_work_on_a_long_list_grows_less_than_its_square(monkeypatch):
+    rng = np.random.default_rng(8)
+    counted = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def bitwise_count(self, x, **options):
+            counted[-1] += x.size
+            return np.bitwise_count(x, **options)
+
+    monkeypatch.setattr(neardup, "np", Counting())
+    for n in (8_000, 32_000):
+        fp = planted(rng, n)
+        counted.append(0)
+        pairs = neardup.near_forest(fp)
+        assert all({a, b} == {min(a, b), min(a, b) + n} for a, b in pairs)
+        assert len(pairs) >= 0.97 * (n // 4)
+    assert counted[1] < 9 * counted[0]
+
+
+def test_recall_at_the_radius_where_lists_are_long(spark):
+    rng = np.random.default_rng(10)
+    n = 40_000
+    fp = rng.integers(0, 256, (n + 400, 32), dtype=np.uint8)
+    bits = np.unpackbits(fp[:400], axis=1)
+    for row in bits:
+        row[rng.permutation(256)[: neardup.RADIUS]] ^= 1
+    fp[n:] = np.packbits(bits, axis=1)
+    at = {x.tobytes(): k for k, x in enumerate(fp)}
+    nodes = spark.createDataFrame([(bytearray(x.tobytes()),) for x in fp], "fp binary")
+    got = {frozenset((at[bytes(r["a"])], at[bytes(r["b"])])) for r in neardup.near_pairs(nodes, len(fp), leaf=64).collect()}
+    want = {frozenset((k, k + n)) for k in range(400)}
+    assert got <= want and len(got) >= 0.92 * len(want)
+
+
 def test_neardup_query_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     data, offs = kernels.utf8(pa.array([r["text"] for r in docs]))

@@ -5,10 +5,14 @@ fingerprints are one node.  Nodes within ``RADIUS`` bits are found in the manner
 of May and Ozerov: many random strips of coordinates are drawn, and for each some
 random patterns; a node joins the list of a pattern if its bits on the strip
 differ from the pattern in at most ``THETA`` places (its partial weight).  Nodes
-near each other join the same list far more often than others do.  A long list is
-filtered again in the same way on other strips; short lists are compared by brute
-force.  The number of rounds follows from the target recall for a pair right at the
-radius (``round_recall``, exact for a strip shared by its patterns), so it doesn't depend on the data; the number of filters made before the
+near each other join the same list far more often than others do.  A short list is
+compared by brute force.  A long one is filtered again on narrow strips, each with all its
+patterns and no place that may differ, so that a sort makes the lists of a strip; how narrow follows from
+the list's length and from sampled distances, such that the work for a node grows as the power 0.4 of the length
+and not as the length.  It finds a pair with a chance of ``LIST_RECALL`` only, and there are more rounds
+for it: that costs less than to find in each round what others find too.
+The number of rounds follows from the target recall for a pair right at the
+radius (``round_recall``, exact for a strip shared by its patterns), so it depends on the data by the number of nodes alone; the number of filters made before the
 shuffle grows with the logarithm of the number of nodes, so that a list fits a
 task at any size.  Lists are counted first: one that still is longer than ``LIST_ROWS``,
 as its nodes are all near each other, is cut into parts by hash, and each pair of parts is
@@ -45,8 +49,12 @@ BITS, WORDS64 = 256, 4
 RADIUS = 64
 MIN_SHINGLES = 8
 STRIP, THETA, PATTERNS = 16, 3, 94
-RECALL, INNER_RECALL = 0.95, 0.985
+RECALL, INNER_RECALL, LIST_RECALL = 0.95, 0.985, 0.7
 LEAF, PIVOTS = 4096, 8
+#: Lists of a narrow strip longer than this are solved by themselves.
+SHORT = 64
+#: About the nanoseconds for a node on a narrow strip, for a pair of neighbours there, and for a pair by brute force.
+STRIP_COST, PAIR_COST, BRUTE_COST = 60, 12, 10
 LIST_ROWS = 500_000
 SMALL_TABLE_BYTES = 64 << 20
 SEED = 20_150_811
@@ -124,9 +132,17 @@ def round_recall(radius: int = RADIUS, strip: int = STRIP, theta: int = THETA, p
     return total
 
 
-def lists_needed(levels: int, recall: float = RECALL, radius: int = RADIUS) -> int:
-    """Rounds that find a pair at the radius with the target recall; it has to pass every level of a round."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-(round_recall(radius) ** levels))))
+def lists_needed(levels: int, recall: float = RECALL, radius: int = RADIUS, found: float = 1.0) -> int:
+    """Rounds that find a pair at the radius with the target recall; it has to pass every level of a round, and is found in the list they share with the chance ``found``."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-(round_recall(radius) ** levels) * found)))
+
+
+def agree(distance: int, strip: int) -> float:
+    """Chance that a pair at this distance agrees on a whole strip."""
+    return math.comb(BITS - distance, strip) / math.comb(BITS, strip)
+
+
+_AGREE = np.array([[agree(d, k) for d in range(BITS + 1)] for k in range(17)])
 
 
 def levels_for(nodes: int, list_rows: int = LIST_ROWS) -> int:
@@ -208,28 +224,101 @@ def _near(words: np.ndarray, some: np.ndarray, idx: np.ndarray, radius: int) ->
     return some[a], idx[b]
 
 
-def brute(words: np.ndarray, idx: np.ndarray, forest: Forest, radius: int, cells: int = 1 << 20) -> None:
+def brute(words: np.ndarray, idx: np.ndarray, forest: Forest, radius: int, cells: int = 1 << 17) -> None:
     """Compare all of ``idx`` with each other, but for pairs within its largest component. words: (n, 4) 64-bit."""
     label = forest.find(idx)
     value, n = np.unique(label, return_counts=True)
     own = label == value[n.argmax()] if n.max() > 1 else np.zeros(len(idx), bool)
-    rest, order = idx[~own], np.concatenate((idx[own], idx[~own]))
+    order = np.concatenate((idx[own], idx[~own]))
     kept, step = int(own.sum()), max(1, cells // max(1, len(idx)))
-    for k in range(0, len(rest), step):
-        some = rest[k : k + step]
+    w = np.ascontiguousarray(words[order].T)
+
+    def against(lo: int, hi: int, start: int, end: int) -> None:
+        near = _distance(w[:, lo:hi, None], w[:, None, start:end]) <= radius
+        if near.any():
+            i, j = np.nonzero(near)
+            _link(forest, w, order, i + lo, j + start, radius)
+
+    for k in range(kept, len(order), step):
         # each of the rest against the largest component, and what of the rest comes not before it
-        i, j = _near(words, some, np.concatenate((order[:kept], order[kept + k :])), radius)
-        up = i != j
-        if up.any():
-            forest.hits(i[up], j[up])
+        if kept:
+            against(k, k + step, 0, kept)
+        against(k, k + step, k, len(order))
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ, as a byte: 256 of them count as none, which ``_link`` rejects. a, b: (4, ...) 64-bit."""
+    d = np.bitwise_count(a[0] ^ b[0])
+    for k in range(1, WORDS64):
+        d += np.bitwise_count(a[k] ^ b[k])
+    return d
+
+
+def _link(forest: Forest, w: np.ndarray, order: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> None:
+    true = (i != j) & (np.bitwise_count(w[:, i] ^ w[:, j]).sum(axis=0) <= radius)
+    if true.any():
+        forest.hits(order[i[true]], order[j[true]])
+
+
+def strips_for(n: int, distances: np.ndarray, apart: float, recall: float, radius: int) -> tuple[int, int]:
+    """(width, number) of the narrow strips that find a pair at the radius with this recall in a list of ``n`` nodes for the least work; width 0 where brute force is less.
+
+    distances: of sampled pairs that aren't linked yet, which are the share ``apart`` of all.
+    """
+    best = (BRUTE_COST * n / 2, 0, 0)
+    for k in range(4, len(_AGREE)):
+        if not 0 < _AGREE[k, radius] < 1:
+            continue
+        strips = max(1, math.ceil(math.log(1 - recall) / math.log1p(-_AGREE[k, radius])))
+        together = apart * _AGREE[k, distances].mean() if len(distances) else 0.0
+        best = min(best, (strips * (STRIP_COST + PAIR_COST * n / 2 * together), k, strips))
+    return best[1:]
 
 
 def near_forest(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, recall: float = INNER_RECALL, seed: int = SEED) -> list[tuple[int, int]]:
-    """Spanning forest of the near pairs of a list; a list longer than ``leaf`` is filtered on further strips, unless what is linked leaves few pairs to compare."""
+    """Spanning forest of the near pairs of a list; a list longer than ``leaf`` is filtered on narrow strips, unless what is linked leaves few pairs to compare."""
     words = np.ascontiguousarray(fp).view(np.uint64)
     forest = Forest(len(fp))
 
-    def solve(idx: np.ndarray, depth: int) -> None:
+    def filtered(idx: np.ndarray, depth: int, recall: float) -> None:
+        rng = np.random.default_rng([seed, 7, depth, len(idx)])
+        a, b = idx[rng.integers(0, len(idx), (2, 4096))]
+        apart = forest.find(a) != forest.find(b)
+        distances = np.bitwise_count(words[a[apart]] ^ words[b[apart]]).sum(axis=1)
+        width, strips = strips_for(len(idx), distances, apart.mean(), recall, radius)
+        if not width:
+            brute(words, idx, forest, radius)
+            return
+        bits, w = np.ascontiguousarray(np.unpackbits(fp[idx], axis=1).T), np.ascontiguousarray(words[idx].T)
+        # strips of one permutation have no place in common, which makes recall no less
+        places = np.concatenate([rng.permutation(BITS)[: BITS // width * width] for _ in range(-(-strips // (BITS // width)))])
+        for r in range(strips):
+            code = np.zeros(len(idx), np.uint16)
+            for c in places[r * width : (r + 1) * width].tolist():
+                code += code
+                code |= bits[c]
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            head = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            size = np.diff(np.append(head, len(code)))
+            for k in np.flatnonzero(size > SHORT).tolist():
+                solve(idx[order[head[k] : head[k] + size[k]]], depth + 1, INNER_RECALL)
+            short = np.repeat(size <= SHORT, size)
+            order, code = order[short], code[short]
+            ws, own = w[:, order], idx[order]
+            for step in range(1, min(SHORT, len(code))):
+                same = code[step:] == code[:-step]
+                n = np.count_nonzero(same)
+                if not n:
+                    break
+                if 4 * n > len(code):  # all neighbours cost less than to pick those
+                    i = np.flatnonzero(_distance(ws[:, :-step], ws[:, step:]) <= radius)
+                else:
+                    i = np.flatnonzero(same)
+                    i = i[_distance(ws[:, i], ws[:, i + step]) <= radius]
+                _link(forest, ws, own, i, i + step, radius)
+
+    def solve(idx: np.ndarray, depth: int, recall: float) -> None:
         if len(idx) > leaf:
             rng = np.random.default_rng([seed, 5, depth, len(idx)])
             for p in rng.choice(idx, PIVOTS, replace=False):
@@ -239,25 +328,19 @@ def near_forest(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, recall:
             return
         if (len(idx) - n.max()) * len(idx) <= leaf * leaf or depth > 6:
             brute(words, idx, forest, radius)
-            return
-        bits = np.unpackbits(fp[idx], axis=1)
-        for r in range(lists_needed(1, recall, radius)):
-            coords, patterns = _strip(np.random.default_rng([seed, 7, depth, r]))
-            code = _codes(bits, coords)
-            for p in patterns:
-                own = idx[_POP16[code ^ p] <= THETA]
-                if len(own) > 1:
-                    solve(own, depth + 1)
+        else:
+            filtered(idx, depth, recall)
 
     if len(fp) > 1:
-        solve(np.arange(len(fp)), 1)
+        solve(np.arange(len(fp)), 1, recall)
     return forest.pairs
 
 
 def near_pairs(nodes: DataFrame, count: int, radius: int = RADIUS, leaf: int = LEAF, recall: float = RECALL, list_rows: int = LIST_ROWS) -> DataFrame:
     """Pairs (a, b) of fingerprints within the radius that span all the components found."""
     levels = levels_for(count, list_rows)
-    rounds = lists_needed(levels, recall, radius)
+    long = count * pass_probability() ** levels > leaf
+    rounds = lists_needed(levels, recall, radius, LIST_RECALL if long else 1.0)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         for b in batches:
@@ -301,7 +384,7 @@ def near_pairs(nodes: DataFrame, count: int, radius: int = RADIUS, leaf: int = L
 
     def solve(t: pa.Table) -> pa.Table:
         fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-        pairs = near_forest(fp, radius, leaf)
+        pairs = near_forest(fp, radius, leaf, LIST_RECALL if long else INNER_RECALL)
         a, b = ([fp[p[k]].tobytes() for p in pairs] for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
