@@ -89,6 +89,16 @@ def test_parser_agrees(spark):
     assert H.parse("<a href=", "https://e.com/")["hrefs"] == []
 
 
+def test_references_in_titles(spark):
+    titles = ["a &amp; b &amp", "a&am", "R&D &quot", "x&", "&#39;s &#39", "a&amp;amp; b", "&lt;i&gt", "&ampx; &unknown;"]
+    d = spark.createDataFrame([(f"<html><head><title>{t}</title></head><body>{t}</body></html>", "https://e.com/") for t in titles], "html string, url string")
+    for r in d.select("html", H.title("html").alias("t"), H.page_facts("html", "url")["title"].alias("f")).collect():
+        assert r.f == r.t, r.html
+    # all named references are known, and what isn't a title is read as before
+    f = H.parse('<title>caf&eacute; &copy</title><body>&lt <a href="/?a=1&amp;b=2">x</a>', "https://e.com/")
+    assert (f["title"], f["text"], f["hrefs"]) == ("café &copy", "< x", ["https://e.com/?a=1&b=2"])
+
+
 def test_text_of_a_long_page_is_whole(spark):
     words = "word " * 30_000
     d = spark.createDataFrame([(f"<html><body><p>{words}end</p></body></html>", "https://e.com/")], "html string, url string")
