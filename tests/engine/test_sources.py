@@ -230,6 +230,25 @@ def test_a_judge_that_says_yes_or_no(spark):
     assert plan.count("Join") == 1 and "Union" not in plan
 
 
+def test_pages_of_one_url_are_routed_apart(spark, tmp_path):
+    from weftline import queries as Q
+
+    # two pages of one URL, on a host of even length, so that both are rendered: to a title alone, and to more text
+    page = "<html><head><title>{}</title></head><body>{}</body></html>".format
+    rows = [(0, "https://m.abc.test/x", page("t", "one two")), (1, "https://m.abc.test/x", page("t", "one two!")), (2, "https://m.ab.test/y", page("t", "z"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, 1, "error", 1.0, "{}")], "event_id long, user_id long, event_type string, value double, props string").selectExpr("*", "timestamp_ntz'2024-02-01 00:00:00' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    d = str(tmp_path)
+    got = sorted(tuple(r) for r in Q.q_routing(spark, d).collect())
+    assert [r[0] for r in got] == ["https://m.ab.test/y"] + ["https://m.abc.test/x"] * 2
+    assert sorted(r[3] for r in got) == ["escalated", "escalation_failed", "rendered_not_better"]
+    for q in (Q.q_routing_stats, Q.q_routing_memory, Q.q_routing_snapshot):
+        r = q(spark, d).first()
+        assert (r.requested, r.escalated) == (3, 3), q.__name__
+    assert Q.q_routing_memory(spark, d).first().host_cache_hits == 3
+    assert [tuple(r) for r in Q.q_routing_reasons(spark, d).collect()] == [("thin-text", 3)]
+
+
 def test_reports_of_little(spark):
     log = spark.createDataFrame([(5.0, 1, True, 3, 0.5, 200, None)], "ts double, seq long, ok boolean, chars long, elapsed double, http_status int, kind string")
     assert metrics.recent_rate(log).first().recent_pps == 1e9 and metrics.recent_rate(log.limit(0)).first().recent_pps == 0.0

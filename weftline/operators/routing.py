@@ -27,9 +27,12 @@ def sufficient(reason: Column) -> Column:
     return reason.isin("ok", "not-ok", "marker-present")
 
 
-def route(plain: DataFrame, rendered: DataFrame, judge=content_check, memory: DataFrame | None = None, keep_html: bool = False) -> DataFrame:
+def route(plain: DataFrame, rendered: DataFrame, judge=content_check, memory: DataFrame | None = None, keep_html: bool = False, key: str = "url") -> DataFrame:
     """(url, text, html, status, http_status) of both tiers: url, tier, text, reason, outcome (and html of the page that is served).
 
+    key: the column of both that names a request, for requests of which several may have one URL;
+    each gets the rendered page of its own request, and one row.  The rendered tier has one row a key at most.
+
     One pass over the plain pages and one outer join: whether a row needs the rendered tier
     is part of the join's condition, so sufficient pages match nothing.  A missing rendered
     page or one with less text leaves the plain page; of equal lengths the rendered one is
@@ -42,9 +45,9 @@ def route(plain: DataFrame, rendered: DataFrame, judge=content_check, memory: Da
     if memory is not None:
         base = base.join(memory.select("url", F.lit(True).alias("known")).distinct(), "url", "left")
         by_rule = F.when(F.col("known"), "host-cached").otherwise(by_rule)
-    base = base.select("url", "text", *(["html"] if keep_html else []), by_rule.alias("reason"))
-    r = rendered.select(F.col("url").alias("r_url"), F.col("text").alias("r_text"), *([F.col("html").alias("r_html")] if keep_html else []), F.lit(True).alias("r_there"))
-    j = base.join(r, (F.col("url") == F.col("r_url")) & ~sufficient(F.col("reason")), "left")
+    base = base.select("url", F.col(key).alias("p_key"), "text", *(["html"] if keep_html else []), by_rule.alias("reason"))
+    r = rendered.select(F.col(key).alias("r_key"), F.col("text").alias("r_text"), *([F.col("html").alias("r_html")] if keep_html else []), F.lit(True).alias("r_there"))
+    j = base.join(r, (F.col("p_key") == F.col("r_key")) & ~sufficient(F.col("reason")), "left")
     n = lambda c: F.coalesce(F.length(c), F.lit(0))
     shorter = (F.col("reason") != "host-cached") & (n("r_text") < n("text"))
     outcome = F.when(sufficient(F.col("reason")), "sufficient").when(F.col("r_there").isNull(), F.when(F.col("reason") == "host-cached", "cached_failed").otherwise("escalation_failed")).when(shorter, "rendered_not_better").otherwise("escalated")

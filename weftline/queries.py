@@ -437,10 +437,10 @@ def q_content_check(spark, d):
 
 
 def _routed(spark, d, memory=None):
-    """The rendered tier fails on hosts of odd length, and gives a title alone where the page's HTML has odd length."""
-    p = _pages(spark, d).select("url", H.text("html").alias("text"), H.title("html").alias("title"), "html", F.lit("ok").alias("status"), F.lit(200).alias("http_status"))
-    more = p.where(F.length(U.host_of("url")) % 2 == 0).select("url", F.when(F.length("html") % 2 == 1, F.col("title")).otherwise(F.concat("text", F.lit(" more"))).alias("text"))
-    return routing.route(p.drop("title"), more, memory=memory)
+    """The rendered tier fails on hosts of odd length, and gives a title alone where the page's HTML has odd length. Pages of one URL are requests of their own."""
+    p = _pages(spark, d).select("page_id", "url", H.text("html").alias("text"), H.title("html").alias("title"), "html", F.lit("ok").alias("status"), F.lit(200).alias("http_status"))
+    more = p.where(F.length(U.host_of("url")) % 2 == 0).select("page_id", F.when(F.length("html") % 2 == 1, F.col("title")).otherwise(F.concat("text", F.lit(" more"))).alias("text"))
+    return routing.route(p.drop("title"), more, memory=memory, key="page_id")
 
 
 def q_routing_memory(spark, d):
