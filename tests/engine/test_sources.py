@@ -249,6 +249,26 @@ def test_pages_of_one_url_are_routed_apart(spark, tmp_path):
     assert [tuple(r) for r in Q.q_routing_reasons(spark, d).collect()] == [("thin-text", 3)]
 
 
+def test_links_are_read_once_and_run_by_run(spark, tmp_path):
+    from weftline import queries as Q
+
+    anchors = "".join(f'<a href="/{k}">x</a>' for k in range(5))
+    rows = [(0, "https://e.com/", anchors), (1, "https://e.com/b", None), (2, "https://e.com/c", ""), (3, "https://o.org/", anchors + " " * 5000), (4, None, '<a href="http://z.net">z</a>')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    d = str(tmp_path)
+    for q in ("q_seen_anti", "q_scope_host", "q_scope_bare_host", "q_links", "q_inlinks", "q_link_frontier"):
+        plan = Q.QUERIES[q](spark, d)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1, q
+    assert sorted(tuple(r) for r in Q.q_links(spark, d).collect()) == [(p, f"{u}{k}") for p, u in ((0, "https://e.com/"), (3, "https://o.org/")) for k in range(5)] + [(4, "http://z.net/")]
+    assert {tuple(r) for r in Q._links(spark, d, "src", "src_host").select("src", "src_host").collect()} == {("https://e.com/", "e.com"), ("https://o.org/", "o.org"), ("", "")}
+    assert Q.q_seen_anti(spark, d).count() == 11
+    import pyarrow as pa
+
+    html = pa.array(["aa", None, "", "ü", "x" * 9, "y"])
+    assert list(H.spans(html, 4)) == [(0, 4), (4, 1), (5, 1)] and list(H.spans(html, 1)) == [(0, 1), (1, 2), (3, 1), (4, 1), (5, 1)]
+    assert list(H.spans(html.slice(4), 99)) == [(0, 2)] and list(H.spans(pa.array([], pa.string()))) == []
+
+
 def test_reports_of_little(spark):
     log = spark.createDataFrame([(5.0, 1, True, 3, 0.5, 200, None)], "ts double, seq long, ok boolean, chars long, elapsed double, http_status int, kind string")
     assert metrics.recent_rate(log).first().recent_pps == 1e9 and metrics.recent_rate(log.limit(0)).first().recent_pps == 0.0

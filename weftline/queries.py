@@ -45,10 +45,11 @@ def _code():
     return F.when(F.col("kind") == "error", F.element_at(F.array(*map(F.lit, (404, 429, 500, 503))), (F.col("seq") % 4 + 1).cast("int"))).otherwise(200)
 
 
-def _links(spark, d) -> DataFrame:
-    # the page's own URL and host are made once a page, below the explode
-    p = _pages(spark, d).select("page_id", U.normalize("url").alias("src"), H.links("html", "url").alias("links"))
-    return p.select("page_id", "src", U.host_of("src").alias("src_host"), "links").select("page_id", "src", "src_host", F.explode("links").alias("url"))
+def _links(spark, d, *keep) -> DataFrame:
+    """The links of all pages, with what is kept of page_id, src (the page's canonical URL) and src_host."""
+    # the page's own URL and host are made once a page, and only where they are kept
+    p = _pages(spark, d).withColumn("src", U.normalize("url"))
+    return H.linked(p.withColumn("src_host", U.host_of("src")), *keep)
 
 
 def _known(spark, d) -> DataFrame:
@@ -57,7 +58,7 @@ def _known(spark, d) -> DataFrame:
 
 def q_link_frontier(spark, d):
     """New in-scope links by host: extract, normalise, keep the page's host, drop what is known."""
-    found = _links(spark, d).withColumn("host", U.host_of("url"))
+    found = _links(spark, d, "src_host").withColumn("host", U.host_of("url"))
     mine = found.where(F.col("host") == F.col("src_host")).select("url", "host").distinct()
     return frontier.unseen(mine, _known(spark, d)).groupBy("host").agg(F.count("*").alias("n_new"))
 
@@ -89,7 +90,7 @@ def q_scope_reasons(spark, d):
 
 
 def q_links(spark, d):
-    return _links(spark, d).select("page_id", "url")
+    return _links(spark, d, "page_id")
 
 
 def q_title(spark, d):
@@ -161,7 +162,7 @@ def q_seeds(spark, d):
 
 
 def q_same_site(spark, d):
-    return _links(spark, d).select("page_id", "url", U.same_site("src", "url").alias("same"))
+    return _links(spark, d, "page_id", "src").select("page_id", "url", U.same_site("src", "url").alias("same"))
 
 
 def _bare_scope(spark, d, **more):
@@ -180,11 +181,11 @@ def q_scope_allow(spark, d):
 
 
 def q_inlinks(spark, d):
-    return _links(spark, d).groupBy("url").agg(F.countDistinct("src").alias("n_pages"))
+    return _links(spark, d, "src").groupBy("url").agg(F.countDistinct("src").alias("n_pages"))
 
 
 def q_outlinks_by_host(spark, d):
-    return _links(spark, d).groupBy(F.col("src_host").alias("host")).agg(F.count("*").alias("n_links"), F.countDistinct("url").alias("n_targets"))
+    return _links(spark, d, "src_host").groupBy(F.col("src_host").alias("host")).agg(F.count("*").alias("n_links"), F.countDistinct("url").alias("n_targets"))
 
 
 def _site(spark) -> DataFrame:
