@@ -262,6 +262,9 @@ def test_links_are_read_once_and_run_by_run(spark, tmp_path):
     assert sorted(tuple(r) for r in Q.q_links(spark, d).collect()) == [(p, f"{u}{k}") for p, u in ((0, "https://e.com/"), (3, "https://o.org/")) for k in range(5)] + [(4, "http://z.net/")]
     assert {tuple(r) for r in Q._links(spark, d, "src", "src_host").select("src", "src_host").collect()} == {("https://e.com/", "e.com"), ("https://o.org/", "o.org"), ("", "")}
     assert Q.q_seen_anti(spark, d).count() == 11
+    # the filter's links are stored: pages aren't read again to ask for them
+    bloom = Q.q_bloom_inserts(spark, d)
+    assert "html" not in bloom._jdf.queryExecution().executedPlan().toString() and tuple(bloom.first()) == (11, 11)
     import pyarrow as pa
 
     html = pa.array(["aa", None, "", "ü", "x" * 9, "y"])

@@ -13,7 +13,7 @@ from .operators import dedup, frontier, metrics, politeness, resources, robots,
 from .operators.scope import reason
 from .operators.simulate import Rules, simulated
 from .plans.config import CrawlConfig, Output, Politeness
-from .plans.storage import fresh, spread
+from .plans.storage import fresh, spread, stored
 from .sources import connectors, contract, sinks
 from .sources.corpus import CorpusSource
 from .streaming import limiter as S
@@ -233,7 +233,8 @@ def q_seen_bloom(spark, d):
 
 def q_bloom_inserts(spark, d):
     """A filter that holds every link: how many it counts, and that it knows them all."""
-    links = _links(spark, d).select("url").distinct()
+    # stored, as the filter is built of them and then asked for them
+    links = stored(_links(spark, d).distinct(), "links")
     b = dedup.Bloom(1_000_000, 1e-9).add(links)
     return b.flagged(links).agg(F.count_if("maybe_seen").alias("known")).select("known", F.lit(b.inserts()).cast("bigint").alias("inserts"))
 
