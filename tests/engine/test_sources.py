@@ -272,6 +272,20 @@ def test_links_are_read_once_and_run_by_run(spark, tmp_path):
     assert list(H.spans(html.slice(4), 99)) == [(0, 2)] and list(H.spans(pa.array([], pa.string()))) == []
 
 
+def test_a_hosts_events_are_folded_by_columns(monkeypatch):
+    import pandas as pd
+
+    # a row as an object of pandas costs more than the fold itself, and short hosts are many
+    monkeypatch.delattr(pd.DataFrame, "itertuples")
+    rows = pd.DataFrame({"host": ["a"] * 3 + ["b"], "seq": [1, 2, 3, 4], "ts": [1.0, 1.0, 2.0, 9.0], "signal": ["acquire", "throttled", "acquire", "crawl_delay"], "arg": [None, None, None, 2.0]})
+    for r in (rows, rows.astype({"arg": object}).where(rows.notna(), None)):
+        got = politeness.fold(r, {}, politeness.Limits())
+        assert got.columns.tolist() == [c.split()[0] for c in politeness.SCHEMA.split(", ")]
+        assert got["granted"].tolist() == [True, None, False, None] and got["rate"].tolist() == [4.0, 2.0, 2.0, 0.5]
+        assert got["tokens"].tolist() == [7.0, 0.0, 0.0, 8.0] and got["blocked_until"].tolist() == [0.0, 3.0, 3.0, 0.0] and got["ready_at"].tolist() == [1.0, 3.0, 3.0, 9.0]
+    assert len(politeness.fold(rows[:0], {}, politeness.Limits())) == 0
+
+
 def test_reports_of_little(spark):
     log = spark.createDataFrame([(5.0, 1, True, 3, 0.5, 200, None)], "ts double, seq long, ok boolean, chars long, elapsed double, http_status int, kind string")
     assert metrics.recent_rate(log).first().recent_pps == 1e9 and metrics.recent_rate(log.limit(0)).first().recent_pps == 0.0

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -91,15 +92,19 @@ class Bucket:
 
 def fold(rows: pd.DataFrame, state: dict[str, Bucket], limits: Limits) -> pd.DataFrame:
     """Rows in order; ``state`` is carried on."""
+    host, seq, ts, signal, arg = (rows[c].tolist() for c in ("host", "seq", "ts", "signal", "arg"))
     out = []
-    for r in rows.itertuples(index=False):
-        b = state.get(r.host)
+    for h, t, s, x in zip(host, ts, signal, arg, strict=True):
+        b = state.get(h)
         if b is None:
             state.clear()
-            b = state[r.host] = Bucket.new(limits, r.ts)
-        got = b.on(r.signal, r.ts, None if pd.isna(r.arg) else r.arg, limits)
-        out.append((r.host, r.seq, r.ts, r.signal, got, b.rate, b.tokens, b.blocked_until, b.ready_at(r.ts)))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"granted": "object"})
+            b = state[h] = Bucket.new(limits, t)
+        # a missing argument is NaN, or None where the column has no number
+        got = b.on(s, t, None if x is None or x != x else x, limits)
+        out.append((got, b.rate, b.tokens, b.blocked_until, b.ready_at(t)))
+    granted, *floats = zip(*out, strict=True) if out else ((),) * 5
+    named = zip(("rate", "tokens", "blocked_until", "ready_at"), floats, strict=True)
+    return pd.DataFrame({"host": host, "seq": seq, "ts": ts, "signal": signal, "granted": np.array(granted, object)} | {k: np.array(v, float) for k, v in named})
 
 
 def replay(events: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ def limiter(events: DataFrame, limits: P.Limits = P.Limits(), idle_s: int = IDLE
         own: dict[str, P.Bucket] = {}
         if state.exists:
             own[key[0]] = P.Bucket(*state.get)
-        rows = pd.concat(list(parts)).sort_values(["ts", "seq"], kind="stable")
+        held = list(parts)
+        rows = held[0] if len(held) == 1 else pd.concat(held)
+        rows = rows.take(np.lexsort((rows["seq"].to_numpy(), rows["ts"].to_numpy())))
         out = P.fold(rows, own, limits)
         state.update(P.packed(own[key[0]]))
         state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1] * 1000), state.getCurrentWatermarkMs()) + idle_s * 1000)
